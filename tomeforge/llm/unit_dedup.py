@@ -1,0 +1,115 @@
+"""Substring dedup: lines or paragraphs that occur again anywhere in the corpus are removed.
+
+Every unit is normalised and hashed, digests are grouped over the whole corpus, the occurrence
+that ranks first stays and all others go, each with its offsets in the original text. The table
+of units is written once to the shared checkpoint folder and read twice: by a partial aggregate,
+in which a unit that occurs millions of times is no hot key, and by the join with the digests
+that occur more than once, which adaptive execution may split.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tomeforge.llm.common import WORD_CHARS, as_text, blocks, cut
+
+SEPARATORS = {"line": "\n", "paragraph": "\n\n"}
+
+
+def _units(texts: pa.Array, separator: str, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(text number, start, end, digest) of the units with min_words words or more."""
+    parts = pc.split_pattern(texts, separator)
+    flat, offsets = parts.values, parts.offsets.to_numpy()
+    counts = np.diff(offsets)
+    doc = np.repeat(np.arange(len(texts)), counts)
+    size = pc.utf8_length(flat).to_numpy(zero_copy_only=False).astype(np.int64)
+    after = np.cumsum(size + len(separator))
+    before = after - size - len(separator)
+    start = before - np.repeat(before[offsets[:-1]], counts) if len(flat) else before
+    plain = pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(flat), f"[^{WORD_CHARS}]+", " "), " ")
+    n_words = np.where(pc.equal(plain, "").to_numpy(zero_copy_only=False), 0, pc.count_substring(plain, " ").to_numpy(zero_copy_only=False) + 1)
+    kept = np.flatnonzero(n_words >= max(1, min_words))
+    digest = [xxhash.xxh3_128_digest(u) for u in plain.take(pa.array(kept)).to_pylist()]
+    return doc[kept], start[kept], (start + size)[kept], digest
+
+
+def repeated_units(
+    docs: DataFrame,
+    unit: str = "line",
+    min_words: int = 8,
+    rank_col: str | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """(id, start_char, end_char, kept_<id>, kept_start): every unit to remove, and the one that stays for it.
+
+    Offsets count characters of the original text, end exclusive, without the separator. Units
+    rank by `rank_col` (smallest first; the id where it is None), then id, then start.
+
+    * Units with fewer than `min_words` words are left alone, as are null and empty texts.
+    * Rows with a null rank or id rank last, among themselves by start. Repeated rows with one id
+      count as one document, so a row is never removed for its own repetition. An empty table
+      gives an empty result. Other columns are not read.
+    """
+    separator = SEPARATORS[unit]
+    kinds = dict(docs.dtypes)
+    rank_kind = kinds[rank_col or id_col]
+    source = docs.select(F.col(id_col).alias("id"), F.col(rank_col or id_col).alias("rank"), F.col(text_col).alias("text"))
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch, "text"):
+                doc, start, end, digest = _units(as_text(block.column("text")), separator, min_words)
+                rows = pa.array(doc)
+                halves = np.frombuffer(b"".join(digest), dtype="<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays(
+                    [block.column("id").take(rows), block.column("rank").take(rows), pa.array(start), pa.array(end), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())],
+                    names=["id", "rank", "start_char", "end_char", "high", "low"],
+                )
+
+    found = cut(source.mapInArrow(explode, f"id {kinds[id_col]}, rank {rank_kind}, start_char long, end_char long, high long, low long"))
+    place = F.struct(F.col("rank").isNull().alias("r0"), F.col("rank").alias("r"), F.col("id").isNull().alias("i0"), F.col("id").alias("i"), F.col("start_char").alias("s"))
+    first = found.groupBy("high", "low").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
+    again = found.join(first, ["high", "low"])
+    other = ~(F.col("id").eqNullSafe(F.col("first.i")) & (F.col("start_char") == F.col("first.s")))
+    return (
+        again.where(other)
+        .select(F.col("id").alias(id_col), "start_char", "end_char", F.col("first.i").alias(f"kept_{id_col}"), F.col("first.s").alias("kept_start"))
+        .distinct()
+    )
+
+
+def remove_units(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with the spans of :func:`repeated_units` cut out, and `removed`, their list of original offsets.
+
+    A document without spans is unchanged and has an empty list; all columns are kept.
+    """
+    cuts = spans.groupBy(F.col(id_col).alias("_id")).agg(F.array_sort(F.collect_set(F.struct("start_char", "end_char"))).alias("removed"))
+    joined = docs.join(cuts, docs[id_col].eqNullSafe(F.col("_id")), "left").drop("_id")
+    removed = F.coalesce(F.col("removed"), F.array().cast("array<struct<start_char:bigint,end_char:bigint>>"))
+    joined = joined.withColumn("removed", removed)
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("removed", lambda r: r["end_char"]))
+    ends = F.concat(F.transform("removed", lambda r: r["start_char"]), F.array(F.length(F.col(text_col)).cast("long")))
+    text = F.array_join(F.zip_with(starts, ends, lambda s, e: F.substring(F.col(text_col), s.cast("int") + 1, (e - s).cast("int"))), "")
+    return joined.withColumn(text_col, F.when(F.size("removed") > 0, text).otherwise(F.col(text_col)))
+
+
+SQL = r"""
+WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL),
+units AS (
+  SELECT doc_id, unnest(p) AS u, unnest(range(1, len(p) + 1)) AS k,
+         unnest(list_transform(range(1, len(p) + 1), lambda i: coalesce(list_sum(list_transform(p[1:i-1], lambda x: length(x) + 1)), 0)))::BIGINT AS s
+  FROM parts),
+plain AS (SELECT doc_id, s, s + length(u) AS e, trim(regexp_replace(lower(u), '[^\p{L}\p{M}\p{N}]+', ' ', 'g')) AS n FROM units),
+kept AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY doc_id, s) AS r,
+                first_value(doc_id) OVER (PARTITION BY n ORDER BY doc_id, s) AS kd,
+                first_value(s) OVER (PARTITION BY n ORDER BY doc_id, s) AS ks
+         FROM plain WHERE len(string_split(n, ' ')) >= 8 AND n <> '')
+SELECT doc_id, s AS start_char, e AS end_char, kd AS kept_doc_id, ks AS kept_start FROM kept WHERE r > 1"""
