@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tomeforge.llm import packing, sharding, unit_dedup
+from tomeforge.llm import ngram_join, packing, sharding, unit_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,13 +19,17 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_pairs(_table(spark, sf_dir, "documents"))
+
+
 def op9_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unit_dedup.repeated_units(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_packing, op4_sharding, op9_unit_dedup)}
+    return {f.__name__: f for f in (op3_packing, op4_sharding, op7_ngram_join, op9_unit_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": sharding.sql(), "op9_unit_dedup": unit_dedup.SQL}
+    return {"op4_sharding": sharding.sql(), "op7_ngram_join": ngram_join.SQL, "op9_unit_dedup": unit_dedup.SQL}
