@@ -4,13 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tomeforge.llm import ngram_join, packing, sharding, unit_dedup
+from tomeforge.llm import decontaminate, ngram_join, packing, pii, repetition, sharding, token_store, toxicity, unit_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.offending_sentences(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op2_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repetition.keep_unrepetitive(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "covered_fraction", "longest_repeat")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -19,16 +29,29 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"))
 
 
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return token_store.store(docs, token_store.train_dictionary(docs))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_pairs(_table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_spans(_table(spark, sf_dir, "documents"))
+
+
 def op9_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unit_dedup.repeated_units(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_packing, op4_sharding, op7_ngram_join, op9_unit_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_repetition, op3_packing, op4_sharding, op5_token_store, op6_decontamination, op7_ngram_join, op8_pii, op9_unit_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
