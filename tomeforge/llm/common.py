@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,14 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def written(frame: DataFrame) -> DataFrame:
+    """The rows as Parquet in a new folder of the shared checkpoint folder, read again."""
+    shared_folder(frame.sparkSession)
+    path = f"{frame.sparkSession.sparkContext.getCheckpointDir()}/written-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.parquet(path)
+
+
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     """UTF-8 bytes over the whole column: one scan, used to size partitions by the data."""
     return docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
