@@ -1 +1 @@
-"""tomeforge: Spark-native analytics over encyclopedia page dumps."""
+"""Encyclopedia-dump analytics as Spark plans."""

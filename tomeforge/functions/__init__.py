@@ -1 +1 @@
-
+"""Column functions: wiki markup, and words of a text."""

@@ -1,17 +1,330 @@
-"""Named queries over the driver's tables, with the SQL each is checked against."""
+"""Named queries over the driver's tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tomeforge.functions import wikitext as W
+from tomeforge.operators import counts as C
+from tomeforge.operators import linking, links, lookup, search, sinks
+from tomeforge.plans.oracle import SQL
+from tomeforge.sources import dumps, indices, tables
+
+Query = Callable[[SparkSession, str], DataFrame]
+_found: dict[str, Query] = {}
+
+
+def _query(function: Query) -> Query:
+    _found[function.__name__] = function
+    return function
+
+
+def _wiki(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.document_pages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.html_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.anchor_counts_flat(_wiki(spark, sf_dir))
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.page_records(_wiki(spark, sf_dir))
+
+
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.build_index(_wiki(spark, sf_dir))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index lines of the document pages: some share an offset."""
+    offset = F.expr("length(text) div 64").cast("string")
+    return _wiki(spark, sf_dir).where("text is not null").select(F.concat(offset, F.lit(":"), F.col("page_id").cast("string"), F.lit(":"), F.col("title")).alias("value"))
+
+
+def _pairs(entries) -> F.Column:
+    """A map as sorted ``entity=n`` texts, which every SQL engine can tell."""
+    return F.array_sort(F.transform(F.map_entries(entries), lambda e: F.struct(e["key"].alias("k"), F.concat(e["key"], F.lit("="), e["value"].cast("bigint").cast("string")).alias("v"))))
+
+
+def _listed(frame: DataFrame, column: str) -> DataFrame:
+    return frame.withColumn(column, F.transform(_pairs(F.col(column)), lambda e: e["v"]))
+
+
+@_query
+def anchor_counts_flat(spark, sf_dir):
+    return _flat(spark, sf_dir)
+
+
+@_query
+def anchor_counts_flat_html(spark, sf_dir):
+    return C.anchor_counts_flat(_html(spark, sf_dir))
+
+
+@_query
+def anchor_counts_nested(spark, sf_dir):
+    return _listed(C.anchor_counts_nested(_wiki(spark, sf_dir)), "entities")
+
+
+@_query
+def anchor_counts_page(spark, sf_dir):
+    return C.anchor_counts_page(_wiki(spark, sf_dir))
+
+
+@_query
+def anchor_counts_lines(spark, sf_dir):
+    return C.anchor_counts_lines(tables.parse_anchor_lines(sinks.anchors_tsv(_records(spark, sf_dir))))
+
+
+@_query
+def anchor_counts_min2(spark, sf_dir):
+    return sinks.counts_tsv(C.anchor_counts_page(_wiki(spark, sf_dir)))
+
+
+@_query
+def merged_counts(spark, sf_dir):
+    wiki = _wiki(spark, sf_dir)
+    return C.merge_counts(C.anchor_counts_flat(wiki), C.anchor_counts_page(wiki))
+
+
+@_query
+def surface_occurrences(spark, sf_dir):
+    return C.occurrences(_flat(spark, sf_dir))
+
+
+@_query
+def commonness(spark, sf_dir):
+    return C.commonness(_flat(spark, sf_dir))
+
+
+@_query
+def commonness_html(spark, sf_dir):
+    return C.commonness(C.anchor_counts_flat(_html(spark, sf_dir)))
+
+
+@_query
+def wiki_matches_threshold(spark, sf_dir):
+    return lookup.wiki_matches(_flat(spark, sf_dir), 0.4)
+
+
+@_query
+def mention_commonness(spark, sf_dir):
+    edges = links.edges(_records(spark, sf_dir))
+    mentions = edges.select(F.col("id").cast("bigint").alias("page_id"), F.col("pos").cast("bigint").alias("i"), W.surface_key(F.col("page"), F.col("surface")).alias("surface"), W.entity_key(F.col("page")).alias("entity"))
+    return lookup.mention_commonness(mentions, _flat(spark, sf_dir))
+
+
+@_query
+def surface_forms(spark, sf_dir):
+    return _listed(C.surface_forms(_flat(spark, sf_dir)), "anchors")
+
+
+@_query
+def surface_sources(spark, sf_dir):
+    wiki = _wiki(spark, sf_dir)
+    return C.surface_sources(C.anchor_counts_flat(wiki), wiki, links.redirects(wiki))
+
+
+@_query
+def key_counts(spark, sf_dir):
+    return sinks.key_counts(_flat(spark, sf_dir))
+
+
+@_query
+def entities_for_surface(spark, sf_dir):
+    return lookup.entities_for(_flat(spark, sf_dir), "of")
+
+
+@_query
+def fetch_one(spark, sf_dir):
+    return lookup.fetch_one(_flat(spark, sf_dir), "the")
+
+
+@_query
+def prefix_lookup(spark, sf_dir):
+    return lookup.by_prefix(_flat(spark, sf_dir), "th")
+
+
+@_query
+def prefix_lookup_surface(spark, sf_dir):
+    return lookup.by_prefix(_flat(spark, sf_dir), "the\t")
+
+
+@_query
+def regex_lookup(spark, sf_dir):
+    return lookup.by_regex(_flat(spark, sf_dir), "th[ae].*")
+
+
+@_query
+def surface_form_of(spark, sf_dir):
+    return _listed(lookup.surface_form(lookup.entities_for(_flat(spark, sf_dir), "of"), "of"), "anchors")
+
+
+@_query
+def top_entities(spark, sf_dir):
+    return lookup.top_entities(_flat(spark, sf_dir), 3)
+
+
+@_query
+def raw_page_scan(spark, sf_dir):
+    return dumps.raw_pages(_wiki(spark, sf_dir)).select("page_id", "text")
+
+
+@_query
+def article_scan(spark, sf_dir):
+    return links.index_documents(_wiki(spark, sf_dir))
+
+
+@_query
+def filtered_titles(spark, sf_dir):
+    title = F.col("title")
+    return _wiki(spark, sf_dir).select(
+        "title", W.is_filtered_title(title).alias("hidden"), W.is_valid_alias(title).alias("valid_alias"), W.is_template_title(title).alias("is_template"),
+        W.title_stripped(title).alias("stripped"), W.title_stripped(title, cut=True).alias("cut"),
+    )
+
+
+@_query
+def link_candidates(spark, sf_dir):
+    found = dumps.raw_pages(_wiki(spark, sf_dir)).select("page_id", F.posexplode(W.link_candidates(F.col("text"))).alias("pos", "link"))
+    return found.withColumn("pos", F.col("pos").cast("bigint"))
+
+
+@_query
+def page_anchors(spark, sf_dir):
+    return links.edges(_records(spark, sf_dir)).withColumn("pos", F.col("pos").cast("bigint"))
+
+
+@_query
+def page_categories(spark, sf_dir):
+    named = _records(spark, sf_dir).select("id", F.explode("categories").alias("category"))
+    return named.withColumn("qualified", W.fully_qualified_category(F.col("category")))
+
+
+@_query
+def anchor_kinds(spark, sf_dir):
+    """Kinds of all link targets, those that the anchor scan leaves out included."""
+    every = F.regexp_extract_all(W.closed_part(F.col("text")), F.lit(r"(?s)\[\[(?=(.*?)\]\])"), F.lit(1))
+    targets = dumps.raw_pages(_wiki(spark, sf_dir)).select(F.explode(every).alias("c")).select(F.substring_index("c", "|", 1).alias("page"))
+    return targets.groupBy("page").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", W.anchor_kind(F.col("page")))
+
+
+@_query
+def find_indices(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    return docs.select("doc_id", F.transform(W.positions_of(F.col("text"), F.lit("nn")), lambda i: i.cast("bigint")).alias("places"))
+
+
+def _rows(formatter: Callable[[DataFrame], DataFrame], source: Query, name: str) -> None:
+    _found[name] = lambda spark, sf_dir: formatter(source(spark, sf_dir))
+
+
+def _outlinks(records: DataFrame) -> DataFrame:
+    return records.select("id", W.outlinks(F.col("anchors")).alias("outlinks"))
+
+
+for _name, _formatter in {
+    "pages_json": sinks.pages_json,
+    "categories_tsv": sinks.categories_tsv,
+    "categories_jsonl": sinks.categories_jsonl,
+    "categories_jsonl_compat": lambda r: sinks.categories_jsonl(r, compat=True),
+    "anchors_tsv": sinks.anchors_tsv,
+    "anchors_jsonl": sinks.anchors_jsonl,
+    "anchors_jsonl_compat": lambda r: sinks.anchors_jsonl(r, compat=True),
+    "outlinks": _outlinks,
+}.items():
+    _rows(_formatter, _records, _name)
+for _name, _formatter in {
+    "redirects": links.redirects,
+    "redirects_tsv": lambda w: sinks.redirects_tsv(links.redirects(w)),
+    "templates": links.templates,
+    "templates_text": lambda w: sinks.templates_text(links.templates(w)),
+}.items():
+    _rows(_formatter, _wiki, _name)
+for _name, _formatter in {
+    "index_lines": indices.parse_index_lines,
+    "index_by_offset": lambda x: indices.pages_by_offset(indices.parse_index_lines(x)),
+    "template_index": indices.templates_by_offset,
+    "compact_index": lambda x: indices.compact_lines(indices.pages_by_offset(indices.parse_index_lines(x))),
+    "compact_index_read": lambda x: indices.parse_compact_lines(indices.compact_lines(indices.pages_by_offset(indices.parse_index_lines(x)))),
+    "title_ids_tsv": lambda x: sinks.title_ids_tsv(indices.titles_of(x)),
+}.items():
+    _rows(_formatter, _lines, _name)
+
+
+@_query
+def nth_offset(spark, sf_dir):
+    offset = indices.nth_offset(indices.parse_index_lines(_lines(spark, sf_dir)), 5)
+    return spark.range(1).select(F.lit(offset).cast("bigint").alias("offset"))
+
+
+@_query
+def search_index(spark, sf_dir):
+    return _index(spark, sf_dir)
+
+
+@_query
+def index_size(spark, sf_dir):
+    return search.index_size(_index(spark, sf_dir))
+
+
+@_query
+def phrase_df(spark, sf_dir):
+    return search.phrase_df(_index(spark, sf_dir), "of the")
+
+
+@_query
+def phrases_df(spark, sf_dir):
+    wanted = spark.createDataFrame([(p,) for p in ("of the", "the", "la de", "In THE", "not in any text at all", "...")], "phrase string")
+    return search.phrases_df(_index(spark, sf_dir), wanted)
+
+
+@_query
+def mutual_outlinks(spark, sf_dir):
+    return search.mutual_outlinks(_index(spark, sf_dir), ["the", "of"])
+
+
+_GROUPS = [(0, "The"), (0, "the"), (1, "of"), (1, "and"), (1, "the"), (2, "nowhere to be found")]
+
+
+@_query
+def mutual_outlinks_of(spark, sf_dir):
+    return search.mutual_outlinks_of(_index(spark, sf_dir), spark.createDataFrame(_GROUPS, "group int, title string"))
+
+
+@_query
+def link_probability(spark, sf_dir):
+    return linking.link_probability(_flat(spark, sf_dir), _index(spark, sf_dir))
+
+
+@_query
+def relatedness(spark, sf_dir):
+    titles = sorted({t for _, t in _GROUPS if " " not in t})
+    pairs = spark.createDataFrame([(a, b) for a in titles for b in titles if a < b], "a string, b string")
+    return linking.relatedness(_index(spark, sf_dir), pairs)
+
+
+@_query
+def entity_links(spark, sf_dir):
+    """Mentions in the benchmark's texts, linked by the documents' counts: an extension without a result to match."""
+    texts = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("text_id"), "text")
+    return linking.link(texts, _flat(spark, sf_dir), _index(spark, sf_dir))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+    """Commonness of every surface form."""
+    return _found["commonness"](spark, sf_dir)
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_found)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
