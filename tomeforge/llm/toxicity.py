@@ -1,9 +1,11 @@
 """Toxicity by multiple-instance learning.
 
-Labels belong to documents; the offending sentences are unknown. Each sentence gets a
-probability from a logistic model of its distinct words, and a document's probability is the noisy-or of its
-sentences: 1 - prod(1 - p). Training maximises the likelihood of the document labels through that
-formula, which leaves blame with the few sentences that explain a label. The trained model then
+Labels belong to documents; the offending sentences are unknown. Each sentence gets a probability
+from a logistic model of its distinct words, a word being told by itself and by its beginnings, and
+a document's probability is the noisy-or of its sentences: 1 - prod(1 - p). Training maximises the
+likelihood of the document labels through that formula, which leaves blame with the few sentences
+that explain a label: a word that clean documents hold now and then can count against a document
+that repeats it in several sentences, and not against one that has it once. The trained model then
 scores documents and points at sentences.
 """
 
@@ -15,10 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomeforge.llm.common import as_text, blocks, normal_words
+from tomeforge.llm.common import WORD_CHARS, as_text, blocks, hash_strings, words
 
 _END = re.compile(r"[.!?…。！？]+(?=\s|$)|\n")
 
@@ -35,34 +38,56 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _sentences(texts: pa.Array) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray, np.ndarray]:
-    """(text of each sentence, its span, sentence of each distinct word, word hash)."""
+#: Beginnings of a word, in characters, that are features besides the word itself.
+BEGINNINGS = (4, 5, 6, 7)
+
+
+def _sentences(texts: pa.Array) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray, np.ndarray, pa.Array]:
+    """(text of each sentence, its span, sentence of each word, the word's index, normalised words)."""
     doc, spans, parts = [], [], []
     for i, text in enumerate(texts.to_pylist()):
         own = sentence_spans(text)
         doc += [i] * len(own)
         spans += own
         parts += [text[a:b] for a, b in own]
-    where, code = normal_words(pa.array(parts, pa.large_string()))
-    return np.array(doc, np.int64), spans, where, code
+    offsets, raw, index = words(pc.utf8_lower(pa.array(parts, pa.large_string())))
+    coded = pc.replace_substring_regex(raw, f"[^{WORD_CHARS}]+", "").dictionary_encode()
+    index = coded.indices.to_numpy(zero_copy_only=False)[index] if len(raw) else np.zeros(0, np.int64)
+    where = np.repeat(np.arange(len(parts)), np.diff(offsets))
+    kept = pc.not_equal(coded.dictionary, "").to_numpy(zero_copy_only=False)[index] if len(raw) else np.zeros(0, bool)
+    return np.array(doc, np.int64), spans, where[kept], index[kept].astype(np.int64), coded.dictionary
+
+
+def features(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(word, hash of a feature) of each distinct word: itself, and each beginning shorter than it."""
+    size = pc.utf8_length(distinct).to_numpy(zero_copy_only=False)
+    owners, hashes = [np.arange(len(distinct))], [hash_strings(distinct)]
+    for k in BEGINNINGS:
+        longer = np.flatnonzero(size > k)
+        starts = pc.utf8_slice_codeunits(distinct.take(pa.array(longer)), 0, k).dictionary_encode()
+        owners.append(longer)
+        hashes.append(hash_strings(starts.dictionary, seed=k)[starts.indices.to_numpy(zero_copy_only=False)] if len(longer) else np.zeros(0, np.uint64))
+    return np.concatenate(owners), np.concatenate(hashes)
 
 
 @dataclass(frozen=True)
 class Model:
-    """Sorted word hashes with their weights, and the bias of every sentence."""
+    """Sorted hashes of features with their weights, and the bias of every sentence."""
 
-    words: np.ndarray
+    features: np.ndarray
     weights: np.ndarray
     bias: float
 
-    def logits(self, where: np.ndarray, code: np.ndarray, sentences: int) -> np.ndarray:
+    def logits(self, where: np.ndarray, index: np.ndarray, distinct: pa.Array, sentences: int) -> np.ndarray:
         """A sentence's words count once each, as in training."""
         z = np.full(sentences, self.bias)
-        if len(code) and len(self.words):
-            at = np.minimum(np.searchsorted(self.words, code), len(self.words) - 1)
-            known = np.flatnonzero(self.words[at] == code)
-            pair = np.unique(where[known].astype(np.int64) * len(self.words) + at[known])
-            z += np.bincount(pair // len(self.words), weights=self.weights[pair % len(self.words)], minlength=sentences)
+        if len(distinct) and len(self.features):
+            owner, code = features(distinct)
+            at = np.minimum(np.searchsorted(self.features, code), len(self.features) - 1)
+            score = np.bincount(owner, weights=np.where(self.features[at] == code, self.weights[at], 0.0), minlength=len(distinct))
+            heavy = np.flatnonzero(score[index])
+            pair = np.unique(where[heavy] * len(distinct) + index[heavy])
+            z += np.bincount(pair // len(distinct), weights=score[pair % len(distinct)], minlength=sentences)
         return z
 
 
@@ -71,40 +96,70 @@ def noisy_or(z: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
     return -np.expm1(-np.bincount(doc, weights=np.logaddexp(0.0, z), minlength=docs))
 
 
-def fit(texts: list[str], toxic: np.ndarray, least_docs: int = 4, penalty: float = 1e-3, rounds: int = 200, rate: float = 0.1) -> Model:
+def fit(texts: list[str], toxic: np.ndarray, least_docs: int = 6, least_z: float = 5.0, penalty: float = 2e-5, rounds: int = 300, rate: float = 0.1) -> Model:
     """Maximise the penalised likelihood of document labels by full-batch Adam; deterministic.
 
-    Words in fewer than `least_docs` texts are left out. Both classes weigh the same in all. With
-    one class or no texts at all the model calls nothing toxic.
+    Features enter that occur in `least_docs` toxic texts or more, and there more often than in
+    clean ones by `least_z` standard errors: others would only learn single documents by heart.
+    Equal texts count once, as toxic if one of them is.
+    With one class or no texts at all the model calls nothing toxic.
     """
-    y = np.asarray(toxic, bool)
+    once: dict[str, bool] = {}
+    for text, bad in zip(texts, toxic):
+        once[text] = once.get(text, False) or bool(bad)
+    texts, y = list(once), np.array(list(once.values()), bool)
     nothing = Model(np.zeros(0, np.uint64), np.zeros(0), -30.0)
     if not y.any() or y.all():
         return nothing
-    doc, _, where, code = _sentences(pa.array(texts, pa.large_string()))
-    words, index = np.unique(code, return_inverse=True)
-    in_docs = np.bincount(np.unique(doc[where] * len(words) + index) % len(words), minlength=len(words))
-    kept = np.flatnonzero(in_docs >= least_docs)
-    renumber = np.full(len(words), -1)
+    doc, _, where, index, distinct = _sentences(pa.array(texts, pa.large_string()))
+    if not len(index):
+        return nothing
+    pair = np.unique(where * len(distinct) + index)
+    where, index = pair // len(distinct), pair % len(distinct)
+    owner, code = features(distinct)
+    names, column = np.unique(code, return_inverse=True)
+    # word by document, then feature by document: each counts once
+    seen = np.unique(doc[where] * len(distinct) + index)
+    order = np.argsort(owner, kind="stable")
+    owner, column = owner[order], column[order]
+    first = np.searchsorted(owner, np.arange(len(distinct) + 1))
+
+    def expand(of: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        many = first[word + 1] - first[word]
+        at = np.repeat(first[word] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        return np.repeat(of, many), column[at]
+
+    d, f = expand(seen // len(distinct), seen % len(distinct))
+    held = np.unique(d * len(names) + f)
+    d, f = held // len(names), held % len(names)
+    bad = np.bincount(f[y[d]], minlength=len(names))
+    good = np.bincount(f[~y[d]], minlength=len(names))
+    p, q = bad / y.sum(), good / (~y).sum()
+    both = (bad + good) / len(y)
+    z = (p - q) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / y.sum() + 1 / (~y).sum()))
+    kept = np.flatnonzero((bad >= least_docs) & (z >= least_z))
+    if not len(kept):
+        return nothing
+    renumber = np.full(len(names), -1)
     renumber[kept] = np.arange(len(kept))
-    known = renumber[index] >= 0
-    pair = np.unique(where[known].astype(np.int64) * max(1, len(kept)) + renumber[index[known]])
-    where, column = pair // max(1, len(kept)), pair % max(1, len(kept))
+    where, column_of = expand(where, index)
+    column_of = renumber[column_of]
+    where, column_of = where[column_of >= 0], column_of[column_of >= 0]
     share = np.where(y, 0.5 / y.sum(), 0.5 / (~y).sum())
     theta = np.zeros(len(kept) + 1)
-    theta[-1] = -5.0
+    theta[-1] = -6.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, rounds + 1):
-        z = theta[-1] + np.bincount(where, weights=theta[column], minlength=len(doc))
+        z = theta[-1] + np.bincount(where, weights=theta[column_of], minlength=len(doc))
         total = np.bincount(doc, weights=np.logaddexp(0.0, z), minlength=len(y))
         slope = share * np.where(y, -1.0 / np.expm1(np.clip(total, 1e-9, 500.0)), 1.0)
         by_sentence = slope[doc] / (1.0 + np.exp(-z))
-        gradient = np.append(np.bincount(column, weights=by_sentence[where], minlength=len(kept)), by_sentence.sum())
-        gradient[:-1] += penalty / max(1, len(kept)) * theta[:-1] + 1e-5 * np.sign(theta[:-1])
+        gradient = np.append(np.bincount(column_of, weights=by_sentence[where], minlength=len(kept)), by_sentence.sum())
+        gradient[:-1] += penalty * theta[:-1]
         m = 0.9 * m + 0.1 * gradient
         v = 0.999 * v + 0.001 * gradient**2
         theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-    return Model(words[kept], theta[:-1].copy(), float(theta[-1]))
+    return Model(names[kept], theta[:-1].copy(), float(theta[-1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 4000, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -127,8 +182,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 4000, seed:
 def _scored(batch: pa.RecordBatch, text_col: str, model: Model) -> Iterator[tuple[np.ndarray, np.ndarray, list, np.ndarray]]:
     """For each block of rows: (document scores, text of each sentence, span, sentence probability)."""
     for block in blocks(batch, text_col):
-        doc, spans, where, code = _sentences(as_text(block.column(text_col)))
-        z = model.logits(where, code, len(doc))
+        doc, spans, where, index, distinct = _sentences(as_text(block.column(text_col)))
+        z = model.logits(where, index, distinct, len(doc))
         yield noisy_or(z, doc, block.num_rows), doc, spans, 1.0 / (1.0 + np.exp(-z))
 
 
@@ -140,7 +195,7 @@ def offending_sentences(docs: DataFrame, model: Model, threshold: float = 0.5, s
 
     * Null and empty texts score 0 and have no rows; a null id is reported as null. Repeated
       rows are reported as often as they occur; an empty table gives an empty result.
-    * Other columns are not read; nothing is shuffled. The model has at most as many words as its
+    * Other columns are not read; nothing is shuffled. The model has at most as many features as its
       bounded training sample.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
