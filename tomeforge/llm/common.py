@@ -44,6 +44,14 @@ def written(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.parquet(path)
 
 
+def free_name(name: str, frame: DataFrame) -> str:
+    """The name, with underscores behind it until no column of the frame has it in any case."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     """UTF-8 bytes over the whole column: one scan, used to size partitions by the data."""
     return docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0

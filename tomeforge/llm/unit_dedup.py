@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomeforge.llm.common import WORD_CHARS, as_text, blocks, cut
+from tomeforge.llm.common import WORD_CHARS, as_text, blocks, cut, free_name
 
 SEPARATORS = {"line": "\n", "paragraph": "\n\n"}
 
@@ -89,16 +89,20 @@ def repeated_units(
 def remove_units(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with the spans of :func:`repeated_units` cut out, and `removed`, their list of original offsets.
 
-    A document without spans is unchanged and has an empty list; all columns are kept.
+    A document without spans is unchanged and has an empty list; all columns are kept, but a column
+    that is called `removed` already is replaced. Null texts stay null; rows that repeat an id are
+    cut alike. An empty table on either side is no special case.
     """
-    cuts = spans.groupBy(F.col(id_col).alias("_id")).agg(F.array_sort(F.collect_set(F.struct("start_char", "end_char"))).alias("removed"))
-    joined = docs.join(cuts, docs[id_col].eqNullSafe(F.col("_id")), "left").drop("_id")
-    removed = F.coalesce(F.col("removed"), F.array().cast("array<struct<start_char:bigint,end_char:bigint>>"))
-    joined = joined.withColumn("removed", removed)
-    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("removed", lambda r: r["end_char"]))
-    ends = F.concat(F.transform("removed", lambda r: r["start_char"]), F.array(F.length(F.col(text_col)).cast("long")))
+    docs = docs.drop("removed")
+    mark, found = free_name("cut_id", docs), free_name("cuts", docs)
+    cuts = spans.groupBy(F.col(id_col).alias(mark)).agg(F.array_sort(F.collect_set(F.struct("start_char", "end_char"))).alias(found))
+    joined = docs.join(cuts, F.col(id_col).eqNullSafe(F.col(mark)), "left")
+    removed = F.coalesce(F.col(found), F.array().cast("array<struct<start_char:bigint,end_char:bigint>>"))
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(removed, lambda r: r["end_char"]))
+    ends = F.concat(F.transform(removed, lambda r: r["start_char"]), F.array(F.length(F.col(text_col)).cast("long")))
     text = F.array_join(F.zip_with(starts, ends, lambda s, e: F.substring(F.col(text_col), s.cast("int") + 1, (e - s).cast("int"))), "")
-    return joined.withColumn(text_col, F.when(F.size("removed") > 0, text).otherwise(F.col(text_col)))
+    cut_text = F.when(F.size(removed) > 0, text).otherwise(F.col(text_col)).alias(text_col)
+    return joined.select(*(cut_text if c == text_col else F.col(c) for c in docs.columns), removed.alias("removed"))
 
 
 SQL = r"""
