@@ -1,0 +1,33 @@
+"""Small tables with nulls, empty and long texts, ties and repeated rows."""
+
+import random
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def words(rng, n, size=400):
+    return " ".join(f"w{rng.randrange(size)}" for _ in range(n))
+
+
+def corpus(n=60, seed=1):
+    """(doc_id, text, lang, source, n_chars): random texts with exact and near copies."""
+    rng = random.Random(seed)
+    texts = [words(rng, rng.choice([3, 12, 40, 120])) for _ in range(n)]
+    for k in range(0, n, 6):
+        copy = texts[k].split(" ")
+        copy[rng.randrange(len(copy))] = "changed"
+        texts.append(" ".join(copy))
+        texts.append(texts[k].upper() + ".")
+    texts += ["", None, "!!!", "one", "One two", "one two"]
+    return [(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+
+
+def frame(spark, rows=None):
+    return spark.createDataFrame(corpus() if rows is None else rows, DOCS)
+
+
+def with_extra(docs, *names):
+    """The table with more columns, whose names an operator might use itself."""
+    from pyspark.sql import functions as F
+
+    return docs.select("*", *(F.lit(7).alias(n) for n in names if n not in docs.columns))

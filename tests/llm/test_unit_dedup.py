@@ -1,0 +1,64 @@
+import random
+import re
+
+from tests.llm.data import frame, with_extra
+from tomeforge.llm import unit_dedup as U
+
+
+def brute(rows, separator="\n", least=8):
+    """{(id, start, end, kept id, kept start)}"""
+    seen = {}
+    for i, text in rows:
+        at = 0
+        for part in (text or "").split(separator):
+            plain = " ".join(re.findall(r"[^\W_]+", part.lower()))
+            if len(plain.split()) >= least:
+                seen.setdefault(plain, set()).add((i is None, -1 if i is None else i, at, at + len(part)))
+            at += len(part) + len(separator)
+    out = set()
+    for places in seen.values():
+        first, *rest = sorted(places)
+        name = lambda p: None if p[0] else p[1]
+        out |= {(name(p), p[2], p[3], name(first), first[2]) for p in rest}
+    return out
+
+
+def made(separator="\n"):
+    rng = random.Random(5)
+    pool = [" ".join(f"w{rng.randrange(90)}" for _ in range(rng.randrange(3, 15))) for _ in range(40)]
+    rows = [(i, separator.join(rng.choice([str.upper, str.title, str])(rng.choice(pool)) + rng.choice(["", ".", " !é"][:2]) for _ in range(rng.randrange(1, 12)))) for i in range(60)]
+    return rows + [(None, rows[0][1]), (70, None), (71, ""), (72, rows[3][1]), (3, rows[3][1]), (73, (pool[0] + " " + pool[1] + separator) * 3000)]
+
+
+def test_lines_and_paragraphs_against_brute_force(spark):
+    for unit, separator in U.SEPARATORS.items():
+        rows = made(separator)
+        docs = with_extra(frame(spark, [(i, t, "en", "s", 0) for i, t in rows]), "id", "rank", "high", "first")
+        found = [tuple(r) for r in U.repeated_units(docs, unit).collect()]
+        assert set(found) == brute(rows, separator) and len(found) == len(set(found))
+
+
+def test_removal_keeps_the_rest(spark):
+    rows = [r for r in made() if r[0] != 3]
+    docs = with_extra(frame(spark, [(i, t, "en", "s", 0) for i, t in rows]), "_id", "removed", "start_char")
+    spans = U.repeated_units(docs)
+    cut = {r["doc_id"]: r for r in U.remove_units(docs, spans).collect()}
+    gone = {}
+    for i, a, b, *_ in brute(rows):
+        gone.setdefault(i, []).append((a, b))
+    for i, text in rows:
+        wanted, last = [], 0
+        for a, b in sorted(gone.get(i, [])):
+            wanted.append(text[last:a])
+            last = b
+        assert cut[i]["text"] == (None if text is None else "".join([*wanted, text[last:]]))
+        assert [tuple(r) for r in cut[i]["removed"]] == sorted(gone.get(i, []))
+    assert U.remove_units(docs, spans).columns[: len(docs.columns) - 1] == [c for c in docs.columns if c != "removed"]
+
+
+def test_rank_and_edges(spark):
+    line = "one two three four five six seven eight nine"
+    docs = frame(spark, [(1, line, "en", "b", 9), (2, line, "en", "a", 3), (3, line, "en", None, None), (4, f"{line}\n{line}", "en", "c", 7)])
+    found = {(r["doc_id"], r["start_char"], r["kept_doc_id"]) for r in U.repeated_units(docs, rank_col="n_chars").collect()}
+    assert found == {(1, 0, 2), (3, 0, 2), (4, 0, 2), (4, len(line) + 1, 2)}
+    assert U.repeated_units(docs.where("false")).count() == 0
