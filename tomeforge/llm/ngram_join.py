@@ -18,7 +18,6 @@ Packed rows hold plain little-endian arrays; every partition is sized from the b
 
 from __future__ import annotations
 
-
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomeforge.llm.common import as_text, blocks, buckets_for, cut, mix64, normal_words, text_bytes
+from tomeforge.llm.common import as_text, blocks, buckets_for, cut, free_name, mix64, normal_words, text_bytes
 
 HASH_BITS = 48
 CLASSES = 8
@@ -460,8 +459,9 @@ def drop_near_copies(docs: DataFrame, threshold: float = 0.5, n: int = 3, id_col
     that repeat an id go or stay together.
     """
     groups = components(similar_pairs(docs, threshold, n, id_col, text_col), f"{id_col}_a", f"{id_col}_b")
-    gone = groups.where("node <> root").select(F.col("node").alias("_gone"))
-    return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    name = free_name("gone", docs)
+    gone = groups.where("node <> root").select(F.col("node").alias(name))
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")
 
 
 SQL = r"""
