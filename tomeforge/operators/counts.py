@@ -15,22 +15,22 @@ def _count(keys: DataFrame) -> DataFrame:
     return keys.groupBy("surface", "entity").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _raw_keys(pages: DataFrame, filter_titles: bool, taken: Column | None) -> DataFrame:
-    links = raw_pages(pages, filter_titles).select(F.explode(W.link_candidates(F.col("text"))).alias("c"))
-    parsed = links.select(W.anchor_page(F.col("c")).alias("page"), W.anchor_surface(F.col("c")).alias("label"))
-    if taken is not None:
-        parsed = parsed.where(taken)
-    return parsed.select(W.surface_key(F.col("page"), F.col("label")).alias("surface"), W.entity_key(F.col("page")).alias("entity"))
+def _raw_keys(pages: DataFrame, filter_titles: bool, only_flat: bool) -> DataFrame:
+    # exploding parsed links computes each once; a filter over parsing expressions would repeat them
+    links = raw_pages(pages, filter_titles).select(F.explode(F.transform(W.link_candidates(F.col("text")), W.parse_anchor)).alias("a"))
+    if only_flat:
+        links = links.where(W.counts_in_flat(F.col("a.page")))
+    return links.select(W.surface_key(F.col("a.page"), F.col("a.surface")).alias("surface"), W.entity_key(F.col("a.page")).alias("entity"))
 
 
 def anchor_counts_flat(pages: DataFrame, filter_titles: bool = False) -> DataFrame:
     """(surface, entity, n) over whole raw texts, without targets that begin with a colon or a talk namespace or hold ``<``."""
-    return _count(_raw_keys(pages, filter_titles, W.counts_in_flat(F.col("page"))))
+    return _count(_raw_keys(pages, filter_titles, only_flat=True))
 
 
 def anchor_counts_raw(pages: DataFrame, filter_titles: bool = False) -> DataFrame:
     """(surface, entity, n) over whole raw texts, with all targets."""
-    return _count(_raw_keys(pages, filter_titles, None))
+    return _count(_raw_keys(pages, filter_titles, only_flat=False))
 
 
 def nest(counts: DataFrame) -> DataFrame:

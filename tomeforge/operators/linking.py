@@ -1,4 +1,4 @@
-"""Entity linking after the published TAGME method (Ferragina and Scaiella, CIKM 2010): an extension.
+"""Entity linking after the method that Ferragina and Scaiella published (CIKM 2010): an extension.
 
 Mentions are word n-grams that are known surface forms. Link probability is a form's uses as an
 anchor over the documents that hold it, relatedness the Milne-Witten measure over in-links, and a

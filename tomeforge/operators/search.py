@@ -29,19 +29,27 @@ def phrase_df(index: DataFrame, phrase: str) -> DataFrame:
     return index.agg(F.count_if(words.has_phrase(F.col("content"), F.lit(phrase))).alias("n"))
 
 
+#: Phrases of up to so many bytes in all are sent to every task; more meet the n-grams in a shuffle.
+BROADCAST_BYTES = 16 << 20
+
+
 def phrases_df(index: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(phrase, n) for a table of phrases (phrase): every document's n-grams of the wanted lengths meet the phrases by hash join."""
+    """(phrase, n) for a table of phrases (phrase): documents' n-grams of the wanted lengths meet the phrases.
+
+    One scan gives the n-grams of all lengths, each once a document. Those that no phrase asks for
+    are dropped by a semi-join before anything is counted: a broadcast one where the phrases' size
+    is within `BROADCAST_BYTES`.
+    """
     wanted = phrases.select("phrase").distinct().withColumn("_p", F.trim(words.phrase_pattern(F.col("phrase"))))
-    lengths = [r[0] for r in wanted.where("_p is not null").select(F.size(F.split("_p", " ")).alias("k")).distinct().collect()]
-    content = index.select(F.monotonically_increasing_id().alias("_doc"), F.split(F.trim("content"), " ").alias("_w"))
-    grams = None
-    for k in sorted(lengths):
-        here = content.select("_doc", F.explode(F.array_distinct(words.grams(F.col("_w"), k))).alias("_p"))
-        grams = here if grams is None else grams.unionByName(here)
-    if grams is None:
+    sizes = wanted.where("_p is not null").groupBy(F.size(F.split("_p", " ")).alias("k")).agg(F.sum(F.octet_length("_p") + 16).alias("b")).collect()
+    if not sizes:
         return wanted.select("phrase", F.lit(0).cast("bigint").alias("n"))
-    # semi-join first: only n-grams that some phrase asks for are counted
-    counted = grams.join(wanted.select("_p").distinct(), "_p", "left_semi").groupBy("_p").agg(F.count(F.lit(1)).alias("n"))
+    content = index.select(F.split(F.trim("content"), " ").alias("_w"))
+    grams = F.array_distinct(F.concat(*(words.grams(F.col("_w"), k) for k in sorted(r["k"] for r in sizes))))
+    asked = wanted.where("_p is not null").select("_p").distinct()
+    if sum(r["b"] for r in sizes) <= BROADCAST_BYTES:
+        asked = F.broadcast(asked)
+    counted = content.select(F.explode(grams).alias("_p")).join(asked, "_p", "left_semi").groupBy("_p").agg(F.count(F.lit(1)).alias("n"))
     return wanted.join(counted, "_p", "left").select("phrase", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 

@@ -10,13 +10,13 @@ WIKI = rf"""wiki AS (
     (CASE source {_CASES} ELSE '' END) || source || ' ' || doc_id AS title,
     coalesce(n_chars < {REDIRECT_CHARS}, false) AS is_redirect,
     CASE WHEN n_chars < {REDIRECT_CHARS} THEN source || ' ' || (doc_id + 1) END AS redirect_to,
-    regexp_replace(regexp_replace(text, '([A-Z][a-z]+) ([a-z]+)', '[[\1#sec| \2 ]]', 'g'),
+    coalesce(regexp_replace(regexp_replace(text, '([A-Z][a-z]+) ([a-z]+)', '[[\1#sec| \2 ]]', 'g'),
       ' ([a-z]+)[.]', ' [[\1]] [[:File:\1]] [[File:\1.jpg|thumb|see [[\1]]]].', 'g')
-      || '==References== [[Category:' || lang || '|k]] [[Category:' || source || ']]' AS text
+      || '==References== [[Category:' || lang || '|k]] [[Category:' || source || ']]', '') AS text
   FROM documents)"""
 HTML = r"""wiki AS (
   SELECT page_id, url AS title, false AS is_redirect, NULL::VARCHAR AS redirect_to,
-    regexp_replace(html, '<a href="/([^"]*)">([^<]*)</a>', '[[\1|\2]]', 'g') AS text
+    coalesce(regexp_replace(html, '<a href="/([^"]*)">([^<]*)</a>', '[[\1|\2]]', 'g'), '') AS text
   FROM pages)"""
 _HIDDEN = " OR ".join(f"starts_with(title, '{p}')" for p in ("File:", "Template:", "Wikipedia:", "User talk:", "File talk:"))
 _MARK = "'==References=='"

@@ -23,11 +23,11 @@ def _query(function: Query) -> Query:
 
 
 def _wiki(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.document_pages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return tables.document_pages(tables.spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 def _html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.html_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return tables.html_pages(tables.spread(spark.read.parquet(f"{sf_dir}/pages.parquet")))
 
 
 def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:

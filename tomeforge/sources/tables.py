@@ -19,9 +19,18 @@ def read_anchor_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def html_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, title, is_redirect, redirect_to, text) from web pages: their relative links become wiki links."""
+    """(page_id, title, is_redirect, redirect_to, text) from web pages: their relative links become wiki links. No HTML is an empty text."""
     linked = F.regexp_replace("html", '<a href="/([^"]*)">([^<]*)</a>', "[[$1|$2]]")
-    return pages.select("page_id", F.col("url").alias("title"), F.lit(False).alias("is_redirect"), F.lit(None).cast("string").alias("redirect_to"), linked.alias("text"))
+    return pages.select("page_id", F.col("url").alias("title"), F.lit(False).alias("is_redirect"), F.lit(None).cast("string").alias("redirect_to"), F.coalesce(linked, F.lit("")).alias("text"))
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """The rows over all cores where the files give fewer tasks than there are, as one small row group does.
+
+    Large inputs have more splits than the cluster has cores and stay as they are.
+    """
+    wanted = frame.sparkSession.sparkContext.defaultParallelism
+    return frame if frame.rdd.getNumPartitions() >= wanted else frame.repartition(wanted)
 
 
 #: What a title of a source begins with.
@@ -35,7 +44,8 @@ def document_pages(documents: DataFrame) -> DataFrame:
 
     A capitalised word and the next become a link with a fragment and a label, a sentence's last
     word three links one of which is nested, and the language and source categories behind a
-    references heading. Sources stand for namespaces.
+    references heading. Sources stand for namespaces. A document without text, language or source
+    is a page with an empty text: known not to be null, so no filter computes the markup a second time.
     """
     prefix = F.lit("")
     for source, name in NAMESPACES.items():
@@ -48,5 +58,5 @@ def document_pages(documents: DataFrame) -> DataFrame:
         F.concat(prefix, F.col("source"), F.lit(" "), F.col("doc_id").cast("string")).alias("title"),
         F.coalesce(short, F.lit(False)).alias("is_redirect"),
         F.when(short, F.concat(F.col("source"), F.lit(" "), (F.col("doc_id") + 1).cast("string"))).alias("redirect_to"),
-        F.concat(body, F.lit("==References== [[Category:"), F.col("lang"), F.lit("|k]] [[Category:"), F.col("source"), F.lit("]]")).alias("text"),
+        F.coalesce(F.concat(body, F.lit("==References== [[Category:"), F.col("lang"), F.lit("|k]] [[Category:"), F.col("source"), F.lit("]]")), F.lit("")).alias("text"),
     )
