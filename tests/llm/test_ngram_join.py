@@ -96,3 +96,16 @@ def test_overlaps_by_product():
     i, j = (x[:30_000] for x in np.triu_indices(700, 1))
     i, j = np.concatenate([i, [650, 5]]), np.concatenate([j, [699, 699]])
     assert N.overlaps(sets, i, j)[[0, 777, -1, -2]].tolist() == [len(np.intersect1d(sets[i[k]], sets[j[k]])) for k in (0, 777, -1, -2)]
+
+
+def test_a_cluster_has_to_name_its_folder():
+    from types import SimpleNamespace
+
+    from tomeforge.llm.common import shared_folder
+
+    put = []
+    session = lambda master, named: SimpleNamespace(conf={"spark.checkpoint.dir": named} if named else {}, sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=put.append))
+    shared_folder(session("yarn", "hdfs://x/shared"))
+    assert put == ["hdfs://x/shared"]
+    with pytest.raises(RuntimeError):
+        shared_folder(session("yarn", None))

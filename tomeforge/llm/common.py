@@ -18,7 +18,7 @@ WORD_CHARS = r"\p{L}\p{M}\p{N}"
 
 
 def shared_folder(spark: SparkSession) -> None:
-    """Leave the cluster's checkpoint folder alone; set one only where none is named."""
+    """Leave the cluster's checkpoint folder alone; where none is named, set one for local runs and refuse others."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
@@ -26,6 +26,8 @@ def shared_folder(spark: SparkSession) -> None:
     if named is None:
         import tempfile
 
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tomeforge-checkpoint-")
     context.setCheckpointDir(named)
 

@@ -162,9 +162,11 @@ def fit(texts: list[str], toxic: np.ndarray, least_docs: int = 6, least_z: float
     return Model(names[kept], theta[:-1].copy(), float(theta[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 4000, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 4000, max_train_chars: int = 1 << 18, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on at most `max_train_docs` labelled documents, half of each class where there are enough.
 
+    They go to the driver whole, so of those drawn the ones beyond `max_train_chars` are left out.
+
     The sample is drawn by a seeded hash of the id, so it doesn't depend on partitioning. Null ids
     and labels are left out; an id labelled both ways counts as toxic; ids without a document
     count for nothing, and of several rows with one id each is used.
@@ -173,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 4000, seed:
     draw = F.xxhash64(F.col("_id"), F.lit(seed))
     half = max(1, max_train_docs // 2)
     chosen = known.where("y = 1").orderBy(draw, "_id").limit(half).unionByName(known.where("y = 0").orderBy(draw, "_id").limit(half))
-    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
+    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("t")).where(F.length("t") <= max_train_chars)
     # at most max_train_docs ids: small whatever the corpus holds
     rows = sorted(source.join(F.broadcast(chosen), "_id").select("t", "y").collect())
     return fit([r[0] for r in rows], np.array([r[1] for r in rows], bool))
