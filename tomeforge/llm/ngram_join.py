@@ -29,8 +29,8 @@ from tomeforge.llm.common import as_text, blocks, buckets_for, cut, free_name, m
 
 HASH_BITS = 48
 CLASSES = 8
-#: Text bytes per n-gram bucket: about two million n-grams, 100 MB in a Python worker.
-BUCKET_BYTES = 12 << 20
+#: Text bytes per n-gram bucket: about a million n-grams, 50 MB in a Python worker.
+BUCKET_BYTES = 6 << 20
 
 
 def least_overlap(a, b, threshold: float):
@@ -102,7 +102,7 @@ def _scan(n: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch, "text", 16 << 20):
+            for block in blocks(batch, "text", 6 << 20):
                 doc, gram = gram_sets(as_text(block.column("text")), n)
                 if not len(doc):
                     continue
@@ -252,7 +252,7 @@ def _merge_probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 _PAIR = "a long, b long, df long, gram long"
 
 
-def _candidates(threshold: float, most: int = 2_000_000):
+def _candidates(threshold: float, most: int = 400_000):
     """Pairs that meet in one bucket of probing n-grams and pass the filters, with the first n-gram they meet at."""
 
     def first_met(parts: list[np.ndarray]) -> np.ndarray:
@@ -268,11 +268,11 @@ def _candidates(threshold: float, most: int = 2_000_000):
         gram, df, doc, size, place, classes = gram[order], df[order], doc[order], size[order], place[order], classes[order]
         first, many = _runs(gram)
         parts: list[np.ndarray] = []
-        held = 0
+        held, full = 0, 2 * most
 
         def meet(i: np.ndarray, j: np.ndarray) -> None:
             """i has the smaller set of each pair."""
-            nonlocal parts, held
+            nonlocal parts, held, full
             keep = (size[i] >= threshold * size[j] - 1e-9) & (doc[i] != doc[j])
             i, j = i[keep], j[keep]
             need = least_overlap(size[i], size[j], threshold)
@@ -286,9 +286,10 @@ def _candidates(threshold: float, most: int = 2_000_000):
             if len(i):
                 parts.append(np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j]), df[i], gram[i]], axis=1))
                 held += len(i)
-                if held > 2 * most:
+                if held > full:
                     parts = [first_met(parts)]
                     held = len(parts[0])
+                    full = 2 * max(most, held)
 
         for length in np.unique(many[many > 1]):
             lists = first[many == length]
@@ -396,7 +397,7 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, id_col: s
     copies = found.where("kind = 0").select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b"), F.lit(1.0).alias("jaccard"))
     sets = found.where("kind = 1").select("doc", "size", "probes", "ranks", "grams", "classes")
     probes = sets.mapInArrow(_merge_probes, "gram long, df long, doc long, size long, place long, classes binary")
-    spread = max(8, buckets // 4)
+    spread = buckets
     met = (
         probes.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(spread)))
         .groupBy("bucket")
@@ -408,7 +409,7 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, id_col: s
     met = cut(met)
     wanted = met.select(F.col("gram").alias("at"), F.explode(F.array("a", "b")).alias("doc")).distinct()
     sent = wanted.join(sets.select("doc", "size", "grams"), "doc")
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(4 * spread))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(2 * spread))
     verified = (
         met.withColumn("bucket", place("gram"))
         .groupBy("bucket")
