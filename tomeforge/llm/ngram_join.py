@@ -9,7 +9,8 @@ The method is an exact prefix-filtering set-similarity join:
    match anything, so only their number is kept; the others go back to their document.
 3. A document of n grams probes with its first n - ceil(t n) + 1; often these are all unique, and
    it is done. The rest are joined on prefix n-grams, with length and positional filters, and a
-   suffix filter that bounds the overlap by the smaller count in each of eight hash classes.
+   suffix filter that bounds the overlap by the smaller count in each of eight hash classes. A pair
+   is passed over where both bring along an earlier n-gram in common, as it meets there already.
 4. Pairs are made distinct, keeping the first n-gram they met at. Sets are sent to that n-gram,
    once for all their pairs there, and each pair is verified there once, by full overlap.
 
@@ -31,6 +32,8 @@ HASH_BITS = 48
 CLASSES = 8
 #: Text bytes per n-gram bucket: about a million n-grams, 50 MB in a Python worker.
 BUCKET_BYTES = 6 << 20
+#: Preceding n-grams of its document that a probing one brings along.
+WITNESSES = 2
 
 
 def least_overlap(a, b, threshold: float):
@@ -129,7 +132,11 @@ def _scan(n: int, buckets: int):
                 for at, many in zip(*_runs(home)):
                     here = owner[at : at + many]
                     table, index = np.unique(here, return_inverse=True)
-                    rows.append((int(home[at]), 1, signature[table].tobytes(), b"", b"", _planes(index.astype(np.uint64)), _sorted_planes(gram[at : at + many])))
+                    by = np.argsort(signature[table])
+                    place = np.empty(len(by), np.int64)
+                    place[by] = np.arange(len(by))
+                    index = place[index]
+                    rows.append((int(home[at]), 1, _sorted_planes(signature[table[by]]), b"", b"", _planes(index.astype(np.uint64)), _sorted_planes(gram[at : at + many])))
                 yield _batch(rows)
 
     return run
@@ -144,7 +151,7 @@ def _frequencies(buckets: int):
             if row["kind"] == 0:
                 passed.append(tuple(row[c] for c in _COLUMNS))
                 continue
-            names = np.frombuffer(row["owners"], np.uint64)
+            names = np.cumsum(_unplanes(row["owners"]))
             owners.append(names[_unplanes(row["index"]).astype(np.int64)])
             grams.append(np.cumsum(_unplanes(row["grams"])))
         if grams:
@@ -168,7 +175,7 @@ def _frequencies(buckets: int):
             for at, many in zip(*_runs(home)):
                 cut_ = slice(at, at + many)
                 names, index = np.unique(owner[cut_], return_inverse=True)
-                passed.append((int(home[at]), 1, names.tobytes(), _planes(df[cut_].astype(np.uint64)), b"", _planes(index.astype(np.uint64)), _sorted_planes(gram[cut_])))
+                passed.append((int(home[at]), 1, _sorted_planes(names), _planes(df[cut_].astype(np.uint64)), b"", _planes(index.astype(np.uint64)), _sorted_planes(gram[cut_])))
         return pa.Table.from_batches([_batch(passed)])
 
     return run
@@ -180,17 +187,18 @@ _SETS = "kind int, doc long, other long, size long, probes int, ranks binary, gr
 def _sets(threshold: float):
     """One bucket of signatures: edges to exact copies (kind 0), and sets that may have partners (kind 1).
 
-    `ranks` and `grams` are document frequencies and n-grams that others share, in global order;
-    the first `probes` of them fall into the prefix.
+    `ranks` and `grams` are document frequencies and n-grams that others share, in global order and
+    by byte planes; the first `probes` of them fall into the prefix.
     """
 
     def run(table: pa.Table) -> pa.Table:
         member, shared = [], []
         for row in table.to_pylist():
-            names = np.frombuffer(row["owners"], np.uint64)
             if row["kind"] == 0:
+                names = np.frombuffer(row["owners"], np.uint64)
                 member.append((names, np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.int64)))
             else:
+                names = np.cumsum(_unplanes(row["owners"]))
                 shared.append((names[_unplanes(row["index"]).astype(np.int64)], _unplanes(row["sizes"]), np.cumsum(_unplanes(row["grams"]))))
         out = []
         owner, ids, size = (np.concatenate(x) for x in zip(*member))
@@ -213,7 +221,7 @@ def _sets(threshold: float):
                 if probes > 0:
                     g = gram[s : s + m]
                     classes = np.bincount((g % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES).astype("<u4")
-                    out.append((1, int(ids[first[k]]), 0, n, min(probes, m), df[s : s + m].astype("<u4").tobytes(), g.tobytes(), classes.tobytes()))
+                    out.append((1, int(ids[first[k]]), 0, n, min(probes, m), _planes(df[s : s + m]), _planes(g), classes.tobytes()))
         names = ["kind", "doc", "other", "size", "probes", "ranks", "grams", "classes"]
         types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         columns = list(zip(*out)) if out else [[]] * len(names)
@@ -222,18 +230,24 @@ def _sets(threshold: float):
     return run
 
 
+_EARLIER = [f"earlier{k}" for k in range(1, WITNESSES + 1)]
+_PROBES = "gram long, df long, doc long, size long, place long, classes binary, " + ", ".join(f"{e} long" for e in _EARLIER)
+
+
 def _probe_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each probing n-gram; `place` is its position in the whole set's order."""
     for batch in batches:
         for row in batch.to_pylist():
-            gram, df = np.frombuffer(row["grams"], np.uint64), np.frombuffer(row["ranks"], "<u4")
+            gram, df = _unplanes(row["grams"]), _unplanes(row["ranks"])
             p, unique = row["probes"], row["size"] - len(gram)
+            earlier = [np.concatenate([np.full(min(k, p), -1), gram[: max(0, p - k)].astype(np.int64)]) for k in range(1, WITNESSES + 1)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(gram[:p].astype(np.int64)), pa.array(df[:p].astype(np.int64)), pa.array(np.full(p, row["doc"])),
                     pa.array(np.full(p, row["size"])), pa.array(np.arange(unique, unique + p)), pa.array([row["classes"]] * p, pa.binary()),
+                    *map(pa.array, earlier),
                 ],
-                names=["gram", "df", "doc", "size", "place", "classes"],
+                names=["gram", "df", "doc", "size", "place", "classes", *_EARLIER],
             )
 
 
@@ -264,7 +278,9 @@ def _candidates(threshold: float, most: int = 400_000):
     def run(table: pa.Table) -> pa.Table:
         gram, df, doc, size, place = (table.column(c).to_numpy() for c in ("gram", "df", "doc", "size", "place"))
         classes = np.frombuffer(b"".join(table.column("classes").to_pylist()), "<u4").reshape(-1, CLASSES).astype(np.int64)
+        earlier = [table.column(e).to_numpy() for e in _EARLIER]
         order = np.lexsort((size, gram, df))
+        earlier = [e[order] for e in earlier]
         gram, df, doc, size, place, classes = gram[order], df[order], doc[order], size[order], place[order], classes[order]
         first, many = _runs(gram)
         parts: list[np.ndarray] = []
@@ -275,6 +291,11 @@ def _candidates(threshold: float, most: int = 400_000):
             nonlocal parts, held, full
             keep = (size[i] >= threshold * size[j] - 1e-9) & (doc[i] != doc[j])
             i, j = i[keep], j[keep]
+            met = np.zeros(len(i), bool)
+            for x in earlier:
+                for y in earlier:
+                    met |= (x[i] == y[j]) & (x[i] >= 0)
+            i, j = i[~met], j[~met]
             need = least_overlap(size[i], size[j], threshold)
             # the pair's first common n-gram passes: all they share lies at or behind it
             keep = 1 + np.minimum(size[i] - place[i] - 1, size[j] - place[j] - 1) >= need
@@ -361,7 +382,7 @@ def _verify(threshold: float):
         for s, m in zip(*_runs(gram)):
             f, k = start[int(gram[s])]
             here = doc[f : f + k]
-            sets = [np.sort(np.frombuffer(raw[order[x]], np.uint64)) for x in range(f, f + k)]
+            sets = [np.sort(_unplanes(raw[order[x]])) for x in range(f, f + k)]
             i, j = np.searchsorted(here, a[s : s + m]), np.searchsorted(here, b[s : s + m])
             common = overlaps(sets, i, j)
             jaccard = common / (size[f + i] + size[f + j] - common)
@@ -396,7 +417,7 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, id_col: s
     found = cut(counted.groupBy("bucket").applyInArrow(_sets(threshold), _SETS))
     copies = found.where("kind = 0").select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b"), F.lit(1.0).alias("jaccard"))
     sets = found.where("kind = 1").select("doc", "size", "probes", "ranks", "grams", "classes")
-    probes = sets.mapInArrow(_merge_probes, "gram long, df long, doc long, size long, place long, classes binary")
+    probes = sets.mapInArrow(_merge_probes, _PROBES)
     spread = buckets
     met = (
         probes.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(spread)))
