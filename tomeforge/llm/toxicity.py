@@ -111,11 +111,21 @@ def fit(texts: list[str], toxic: np.ndarray, least_docs: int = 6, least_z: float
     nothing = Model(np.zeros(0, np.uint64), np.zeros(0), -30.0)
     if not y.any() or y.all():
         return nothing
-    doc, _, where, index, distinct = _sentences(pa.array(texts, pa.large_string()))
+    # 256 documents at a time, here and below: that bounds the driver's memory
+    vocabulary: dict[str, int] = {}
+    docs, wheres, indices, sentences = [], [], [], 0
+    for low in range(0, len(texts), 256):
+        own, _, where, index, distinct = _sentences(pa.array(texts[low : low + 256], pa.large_string()))
+        known = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in distinct.to_pylist()], np.int32)
+        pair = np.unique(where * len(distinct) + index)
+        docs.append(own + low)
+        wheres.append((pair // max(1, len(distinct)) + sentences).astype(np.int32))
+        indices.append(known[pair % max(1, len(distinct))])
+        sentences += len(own)
+    doc, where, index = np.concatenate(docs), np.concatenate(wheres), np.concatenate(indices)
     if not len(index):
         return nothing
-    pair = np.unique(where * len(distinct) + index)
-    where, index = pair // len(distinct), pair % len(distinct)
+    distinct = pa.array(list(vocabulary), pa.large_string())
     owner, code = features(distinct)
     names, column = np.unique(code, return_inverse=True)
     # word by document, then feature by document: each counts once
@@ -129,11 +139,14 @@ def fit(texts: list[str], toxic: np.ndarray, least_docs: int = 6, least_z: float
         at = np.repeat(first[word] - (np.cumsum(many) - many), many) + np.arange(many.sum())
         return np.repeat(of, many), column[at]
 
-    d, f = expand(seen // len(distinct), seen % len(distinct))
-    held = np.unique(d * len(names) + f)
-    d, f = held // len(names), held % len(names)
-    bad = np.bincount(f[y[d]], minlength=len(names))
-    good = np.bincount(f[~y[d]], minlength=len(names))
+    bad, good = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+    bounds = np.searchsorted(seen, np.arange(0, len(y) + 256, 256) * len(distinct))
+    for low, high in zip(bounds, bounds[1:]):
+        d, f = expand(seen[low:high] // len(distinct), seen[low:high] % len(distinct))
+        held = np.unique(d * len(names) + f)
+        d, f = held // len(names), held % len(names)
+        bad += np.bincount(f[y[d]], minlength=len(names))
+        good += np.bincount(f[~y[d]], minlength=len(names))
     p, q = bad / y.sum(), good / (~y).sum()
     both = (bad + good) / len(y)
     z = (p - q) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / y.sum() + 1 / (~y).sum()))
@@ -142,9 +155,9 @@ def fit(texts: list[str], toxic: np.ndarray, least_docs: int = 6, least_z: float
         return nothing
     renumber = np.full(len(names), -1)
     renumber[kept] = np.arange(len(kept))
+    owner, column = owner[renumber[column] >= 0], renumber[column][renumber[column] >= 0]
+    first = np.searchsorted(owner, np.arange(len(distinct) + 1))
     where, column_of = expand(where, index)
-    column_of = renumber[column_of]
-    where, column_of = where[column_of >= 0], column_of[column_of >= 0]
     share = np.where(y, 0.5 / y.sum(), 0.5 / (~y).sum())
     theta = np.zeros(len(kept) + 1)
     theta[-1] = -6.0
