@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tomeforge.llm import context_mixing, decontaminate, ngram_join, packing, pii, repetition, sharding, token_store, toxicity, unit_dedup
+from tomeforge.llm import context_mixing, decontaminate, ngram_join, packing, passage_dedup, pii, repetition, sharding, token_store, toxicity, unit_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,13 +50,17 @@ def op9_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unit_dedup.repeated_units(_table(spark, sf_dir, "documents"))
 
 
+def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return context_mixing.score(docs, context_mixing.gather(docs))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_repetition, op3_packing, op4_sharding, op5_token_store, op6_decontamination, op7_ngram_join, op8_pii, op9_unit_dedup, op10_context_mixing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_repetition, op3_packing, op4_sharding, op5_token_store, op6_decontamination, op7_ngram_join, op8_pii, op9_passage_dedup, op9_unit_dedup, op10_context_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
