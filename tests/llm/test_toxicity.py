@@ -88,3 +88,31 @@ def test_edges(spark):
     assert T.offending_sentences(docs, nothing).count() == 0
     assert T.drop_toxic(docs, T.fit(["a b"] * 3, np.array([1, 1, 1]))).count() == len(rows)
     assert spark.createDataFrame([], DOCS).count() == T.train(spark.createDataFrame([], DOCS), spark.createDataFrame([(1, 1, 1)], LABELS)).features.size
+
+
+def test_length_alone_makes_nothing_toxic(spark):
+    rows, labels, _ = made(400, 3)
+    model = T.train(frame(spark, rows), spark.createDataFrame(labels, LABELS))
+    rng = random.Random(8)
+    clean = " ".join(" ".join(f"w{rng.randrange(300)}" for _ in range(rng.randrange(4, 12))) + "." for _ in range(20000))
+    z = np.full(20000, model.bias)
+    assert T.noisy_or(z, np.zeros(20000, int), 1)[0] > 0.5  # what sentences without evidence add up to
+    docs = frame(spark, [(1, clean, "en", "s", 0), (2, clean + " a vilest rotten word.", "en", "s", 0)])
+    assert {r["doc_id"] for r in T.offending_sentences(docs, model).collect()} == {2}
+    assert [r["doc_id"] for r in T.drop_toxic(docs, model).collect()] == [1]
+
+
+def test_long_labelled_texts_train(spark):
+    rows, labels, _ = made(400, 3)
+    rng = random.Random(2)
+    filler = " ".join(f"w{rng.randrange(300)}" for _ in range(70000))
+    rows = [(i, f"{filler[: 1 << 18]} x{i}. {t}", *rest) for i, t, *rest in rows[:120]]
+    model = T.train(frame(spark, rows), spark.createDataFrame(labels[:120], LABELS))
+    assert {int(h) for h in T.features(pa.array(["vilest", "rotten"], pa.large_string()))[1][:2]} <= {int(h) for h in model.features}
+
+
+def test_training_on_executors_is_the_same_fit(spark):
+    rows, labels, _ = made(300, 3)
+    there = T.train(frame(spark, rows).repartition(3), spark.createDataFrame(labels, LABELS))
+    here = T.fit([r[1] for r in rows], np.array([y[2] for y in labels]))
+    assert (there.features == here.features).all() and there.weights == pytest.approx(here.weights, rel=1e-6) and there.mean == pytest.approx(here.mean)

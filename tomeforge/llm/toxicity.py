@@ -6,7 +6,8 @@ a document's probability is the noisy-or of its sentences: 1 - prod(1 - p). Trai
 likelihood of the document labels through that formula, which leaves blame with the few sentences
 that explain a label: a word that clean documents hold now and then can count against a document
 that repeats it in several sentences, and not against one that has it once. The trained model then
-scores documents and points at sentences.
+scores documents and points at sentences. As every sentence adds a little, what clean sentences add
+up to is taken off beyond the usual length; length alone makes nothing toxic.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomeforge.llm.common import WORD_CHARS, as_text, blocks, hash_strings, words
+from tomeforge.llm.common import WORD_CHARS, as_text, blocks, cut, hash_strings, words
 
 _END = re.compile(r"[.!?…。！？]+(?=\s|$)|\n")
 
@@ -40,6 +42,8 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
 
 #: Beginnings of a word, in characters, that are features besides the word itself.
 BEGINNINGS = (4, 5, 6, 7)
+#: Standard deviations that count besides the mean in what clean sentences add up to in long documents.
+MARGIN = 2.0
 
 
 def _sentences(texts: pa.Array) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray, np.ndarray, pa.Array]:
@@ -72,11 +76,18 @@ def features(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Model:
-    """Sorted hashes of features with their weights, and the bias of every sentence."""
+    """Sorted hashes of features with their weights, and the bias of every sentence.
+
+    `mean` is what a sentence of a clean document adds to -log(1 - p) of the document, and `spread`
+    the variance of that, by sentence, between clean documents; `usual` is how many they have on average.
+    """
 
     features: np.ndarray
     weights: np.ndarray
     bias: float
+    mean: float = 0.0
+    spread: float = 0.0
+    usual: float = 0.0
 
     def logits(self, where: np.ndarray, index: np.ndarray, distinct: pa.Array, sentences: int) -> np.ndarray:
         """A sentence's words count once each, as in training."""
@@ -96,89 +107,130 @@ def noisy_or(z: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
     return -np.expm1(-np.bincount(doc, weights=np.logaddexp(0.0, z), minlength=docs))
 
 
-def fit(texts: list[str], toxic: np.ndarray, least_docs: int = 6, least_z: float = 5.0, penalty: float = 2e-5, rounds: int = 300, rate: float = 0.1) -> Model:
-    """Maximise the penalised likelihood of document labels by full-batch Adam; deterministic.
+def scores(model: Model, z: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+    """The noisy-or without what a length above the usual adds, or the likeliest sentence where that is more.
 
-    Features enter that occur in `least_docs` toxic texts or more, and there more often than in
-    clean ones by `least_z` standard errors: others would only learn single documents by heart.
-    Equal texts count once, as toxic if one of them is.
-    With one class or no texts at all the model calls nothing toxic.
+    Training has balanced what sentences add up to at usual lengths, so nothing is taken off there.
     """
-    once: dict[str, bool] = {}
-    for text, bad in zip(texts, toxic):
-        once[text] = once.get(text, False) or bool(bad)
-    texts, y = list(once), np.array(list(once.values()), bool)
-    nothing = Model(np.zeros(0, np.uint64), np.zeros(0), -30.0)
-    if not y.any() or y.all():
-        return nothing
-    # 256 documents at a time, here and below: that bounds the driver's memory
-    vocabulary: dict[str, int] = {}
-    docs, wheres, indices, sentences = [], [], [], 0
-    for low in range(0, len(texts), 256):
-        own, _, where, index, distinct = _sentences(pa.array(texts[low : low + 256], pa.large_string()))
-        known = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in distinct.to_pylist()], np.int32)
-        pair = np.unique(where * len(distinct) + index)
-        docs.append(own + low)
-        wheres.append((pair // max(1, len(distinct)) + sentences).astype(np.int32))
-        indices.append(known[pair % max(1, len(distinct))])
-        sentences += len(own)
-    doc, where, index = np.concatenate(docs), np.concatenate(wheres), np.concatenate(indices)
-    if not len(index):
-        return nothing
-    distinct = pa.array(list(vocabulary), pa.large_string())
+    many = np.maximum(np.bincount(doc, minlength=docs), model.usual)
+    length = (many - model.usual) * model.mean + MARGIN * (np.sqrt(many * model.spread) - np.sqrt(model.usual * model.spread))
+    beyond = np.bincount(doc, weights=np.logaddexp(0.0, z), minlength=docs) - length
+    out = -np.expm1(-np.maximum(beyond, 0.0))
+    np.maximum.at(out, doc, 1.0 / (1.0 + np.exp(-z)))
+    return out
+
+
+def _expand(distinct: pa.Array, of: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(of, hash of a feature) for every feature of every word given."""
     owner, code = features(distinct)
-    names, column = np.unique(code, return_inverse=True)
-    # word by document, then feature by document: each counts once
-    seen = np.unique(doc[where] * len(distinct) + index)
     order = np.argsort(owner, kind="stable")
-    owner, column = owner[order], column[order]
-    first = np.searchsorted(owner, np.arange(len(distinct) + 1))
-
-    def expand(of: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        many = first[word + 1] - first[word]
-        at = np.repeat(first[word] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        return np.repeat(of, many), column[at]
-
-    bad, good = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
-    bounds = np.searchsorted(seen, np.arange(0, len(y) + 256, 256) * len(distinct))
-    for low, high in zip(bounds, bounds[1:]):
-        d, f = expand(seen[low:high] // len(distinct), seen[low:high] % len(distinct))
-        held = np.unique(d * len(names) + f)
-        d, f = held // len(names), held % len(names)
-        bad += np.bincount(f[y[d]], minlength=len(names))
-        good += np.bincount(f[~y[d]], minlength=len(names))
-    p, q = bad / y.sum(), good / (~y).sum()
-    both = (bad + good) / len(y)
-    z = (p - q) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / y.sum() + 1 / (~y).sum()))
-    kept = np.flatnonzero((bad >= least_docs) & (z >= least_z))
-    if not len(kept):
-        return nothing
-    renumber = np.full(len(names), -1)
-    renumber[kept] = np.arange(len(kept))
-    owner, column = owner[renumber[column] >= 0], renumber[column][renumber[column] >= 0]
-    first = np.searchsorted(owner, np.arange(len(distinct) + 1))
-    where, column_of = expand(where, index)
+    code = code[order]
+    first = np.searchsorted(owner[order], np.arange(len(distinct) + 1))
+    many = first[word + 1] - first[word]
+    at = np.repeat(first[word] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    return np.repeat(of, many), code[at]
+
+
+def _tally(texts: pa.Array, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of a feature, toxic texts that have it, clean ones)."""
+    doc, _, where, index, distinct = _sentences(texts)
+    seen = np.unique(doc[where] * max(1, len(distinct)) + index)
+    of, code = _expand(distinct, seen // max(1, len(distinct)), seen % max(1, len(distinct)))
+    names, column = np.unique(code, return_inverse=True)
+    held = np.unique(of * max(1, len(names)) + column)
+    of, column = held // max(1, len(names)), held % max(1, len(names))
+    return names, np.bincount(column[toxic[of]], minlength=len(names)), np.bincount(column[~toxic[of]], minlength=len(names))
+
+
+def _evidence(texts: pa.Array, kept: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """For each text: its number of sentences, and (sentence, kept feature) of what they hold."""
+    doc, _, where, index, distinct = _sentences(texts)
+    pair = np.unique(where * max(1, len(distinct)) + index)
+    of, code = _expand(distinct, pair // max(1, len(distinct)), pair % max(1, len(distinct)))
+    at = np.minimum(np.searchsorted(kept, code), len(kept) - 1)
+    known = kept[at] == code
+    of, at = of[known], at[known]
+    first = np.searchsorted(doc, np.arange(len(texts) + 1))
+    bounds = np.searchsorted(of, first)
+    return [(int(first[i + 1] - first[i]), of[bounds[i] : bounds[i + 1]] - first[i], at[bounds[i] : bounds[i + 1]]) for i in range(len(texts))]
+
+
+def _screen(names: np.ndarray, bad: np.ndarray, good: np.ndarray, n_bad: int, n_good: int, least_docs: int, least_z: float) -> np.ndarray:
+    """Sorted hashes of the features that enter."""
+    p, q, both = bad / n_bad, good / n_good, (bad + good) / (n_bad + n_good)
+    z = (p - q) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n_bad + 1 / n_good))
+    return np.sort(names[(bad >= least_docs) & (z >= least_z)])
+
+
+def _maximise(y: np.ndarray, held: list[tuple[int, np.ndarray, np.ndarray]], kept: np.ndarray, penalty: float, rounds: int, rate: float) -> Model:
+    """The model of the texts' evidence; sentences without any are alike and only counted."""
+    size = np.array([n for n, _, _ in held], np.int64)
+    doc, wheres, sentences = [], [], 0
+    for i, (_, own, _) in enumerate(held):
+        found, at = np.unique(own, return_inverse=True)
+        doc.append(np.full(len(found), i))
+        wheres.append(at + sentences)
+        sentences += len(found)
+    doc, where, column_of = np.concatenate(doc), np.concatenate(wheres), np.concatenate([c for _, _, c in held])
+    plain = size - np.bincount(doc, minlength=len(y))
     share = np.where(y, 0.5 / y.sum(), 0.5 / (~y).sum())
     theta = np.zeros(len(kept) + 1)
     theta[-1] = -6.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    for t in range(1, rounds + 1):
+
+    def totals() -> tuple[np.ndarray, np.ndarray]:
         z = theta[-1] + np.bincount(where, weights=theta[column_of], minlength=len(doc))
-        total = np.bincount(doc, weights=np.logaddexp(0.0, z), minlength=len(y))
+        return z, np.bincount(doc, weights=np.logaddexp(0.0, z), minlength=len(y)) + plain * np.logaddexp(0.0, theta[-1])
+
+    for t in range(1, rounds + 1):
+        z, total = totals()
         slope = share * np.where(y, -1.0 / np.expm1(np.clip(total, 1e-9, 500.0)), 1.0)
         by_sentence = slope[doc] / (1.0 + np.exp(-z))
-        gradient = np.append(np.bincount(column_of, weights=by_sentence[where], minlength=len(kept)), by_sentence.sum())
+        by_plain = (slope * plain).sum() / (1.0 + np.exp(-theta[-1]))
+        gradient = np.append(np.bincount(column_of, weights=by_sentence[where], minlength=len(kept)), by_sentence.sum() + by_plain)
         gradient[:-1] += penalty * theta[:-1]
         m = 0.9 * m + 0.1 * gradient
         v = 0.999 * v + 0.001 * gradient**2
         theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-    return Model(names[kept], theta[:-1].copy(), float(theta[-1]))
+    clean, many = totals()[1][~y], size[~y]
+    mean = clean.sum() / max(1, many.sum())
+    spread = ((clean - many * mean) ** 2).sum() / max(1, many.sum())
+    return Model(kept, theta[:-1].copy(), float(theta[-1]), float(mean), float(spread), float(many.mean()))
+
 
+def _nothing() -> Model:
+    return Model(np.zeros(0, np.uint64), np.zeros(0), -30.0)
 
-def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 4000, max_train_chars: int = 1 << 18, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on at most `max_train_docs` labelled documents, half of each class where there are enough.
 
-    They go to the driver whole, so of those drawn the ones beyond `max_train_chars` are left out.
+def fit(texts: list[str], toxic: np.ndarray, least_docs: int = 6, least_z: float = 5.0, penalty: float = 2e-5, rounds: int = 300, rate: float = 0.1) -> Model:
+    """Maximise the penalised likelihood of document labels by full-batch Adam; deterministic.
+
+    Features enter that occur in `least_docs` toxic texts or more, and there more often than in
+    clean ones by `least_z` standard errors: others would only learn single documents by heart.
+    Equal texts count once, as toxic if one of them is.
+    With one class or no texts at all the model calls nothing toxic.
+    """
+    once: dict[str, bool] = {}
+    for text, bad in zip(texts, toxic):
+        once[text] = once.get(text, False) or bool(bad)
+    y = np.array(list(once.values()), bool)
+    if not y.any() or y.all():
+        return _nothing()
+    parts = [(pa.array(list(once)[low : low + 256], pa.large_string()), y[low : low + 256]) for low in range(0, len(y), 256)]
+    tallies = [_tally(*part) for part in parts]
+    names, at = np.unique(np.concatenate([t[0] for t in tallies]), return_inverse=True)
+    bad, good = (np.bincount(at, np.concatenate([t[k] for t in tallies]), len(names)) for k in (1, 2))
+    kept = _screen(names, bad, good, y.sum(), (~y).sum(), least_docs, least_z)
+    if not len(kept):
+        return _nothing()
+    return _maximise(y, [e for part, _ in parts for e in _evidence(part, kept)], kept, penalty, rounds, rate)
+
+
+def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 4000, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", least_docs: int = 6, least_z: float = 5.0, penalty: float = 2e-5, rounds: int = 300, rate: float = 0.1) -> Model:
+    """:func:`fit` on at most `max_train_docs` labelled documents, half of each class where there are enough.
+
+    Their texts, however long, stay on the executors: features are tallied there, and what goes to
+    the driver is which sentences hold the features that enter, and how many sentences there are.
 
     The sample is drawn by a seeded hash of the id, so it doesn't depend on partitioning. Null ids
     and labels are left out; an id labelled both ways counts as toxic; ids without a document
@@ -188,10 +240,39 @@ def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 4000, max_tr
     draw = F.xxhash64(F.col("_id"), F.lit(seed))
     half = max(1, max_train_docs // 2)
     chosen = known.where("y = 1").orderBy(draw, "_id").limit(half).unionByName(known.where("y = 0").orderBy(draw, "_id").limit(half))
-    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("t")).where(F.length("t") <= max_train_chars)
+    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
     # at most max_train_docs ids: small whatever the corpus holds
-    rows = sorted(source.join(F.broadcast(chosen), "_id").select("t", "y").collect())
-    return fit([r[0] for r in rows], np.array([r[1] for r in rows], bool))
+    once = cut(source.join(F.broadcast(chosen), "_id").groupBy("t").agg(F.max("y").alias("y")))
+    many = {r["y"] > 0: r["count"] for r in once.groupBy("y").count().collect()}
+    if len(many) < 2:
+        return _nothing()
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        for batch in batches:
+            for block in blocks(batch, "t", 1 << 20, 256):
+                yield as_text(block.column("t")), block.column("y").to_numpy(zero_copy_only=False) > 0
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts, y in parts(batches):
+            names, bad, good = _tally(texts, y)
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(bad), pa.array(good)], names=["name", "bad", "good"])
+
+    counted = once.mapInArrow(tally, "name long, bad long, good long").groupBy("name").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where(F.col("bad") >= least_docs).collect()
+    names, bad, good = (np.array([r[k] for r in counted], np.int64) for k in range(3))
+    kept = _screen(names.view(np.uint64), bad, good, many[True], many[False], least_docs, least_z)
+    if not len(kept):
+        return _nothing()
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts, y in parts(batches):
+            digest = [xxhash.xxh3_128_digest(t) for t in texts.to_pylist()]
+            size, own, of = zip(*_evidence(texts, kept))
+            packed = lambda rows: pa.array([r.astype("<i4").tobytes() for r in rows], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(y), pa.array(size, pa.int64()), packed(own), packed(of)], names=["digest", "y", "n", "own", "of"])
+
+    rows = sorted(once.mapInArrow(hold, "digest binary, y boolean, n long, own binary, of binary").collect())
+    held = [(r["n"], np.frombuffer(r["own"], "<i4").astype(np.int64), np.frombuffer(r["of"], "<i4").astype(np.int64)) for r in rows]
+    return _maximise(np.array([r["y"] for r in rows], bool), held, kept, penalty, rounds, rate)
 
 
 def _scored(batch: pa.RecordBatch, text_col: str, model: Model) -> Iterator[tuple[np.ndarray, np.ndarray, list, np.ndarray]]:
@@ -199,7 +280,7 @@ def _scored(batch: pa.RecordBatch, text_col: str, model: Model) -> Iterator[tupl
     for block in blocks(batch, text_col):
         doc, spans, where, index, distinct = _sentences(as_text(block.column(text_col)))
         z = model.logits(where, index, distinct, len(doc))
-        yield noisy_or(z, doc, block.num_rows), doc, spans, 1.0 / (1.0 + np.exp(-z))
+        yield scores(model, z, doc, block.num_rows), doc, spans, 1.0 / (1.0 + np.exp(-z))
 
 
 def offending_sentences(docs: DataFrame, model: Model, threshold: float = 0.5, sentence_threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
