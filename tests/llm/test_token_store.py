@@ -41,3 +41,16 @@ def test_edges(spark, docs):
     broken = shards.selectExpr("shard", "'x' as dict_hash", "dictionary", "doc_ids", "offsets", "n_tokens", "data")
     with pytest.raises(Exception, match="hash"):
         S.read(broken).collect()
+
+
+def test_the_dictionary_depends_on_the_rows_alone(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    few = frame(spark, [(i, " ".join(rng.choice("cookies privacy again the boilerplate about settings accept".split()) + str(rng.randrange(9)) for _ in range(80)), "en", "s", 0) for i in range(400)])
+    drawn = few.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(1 << 30)) < 1 << 28).limit(1)
+    many = drawn.crossJoin(spark.range(7000).select()).coalesce(1)
+    one, two = (S.train_dictionary(d, sample_docs=3000, dict_bytes=4096) for d in (many.unionByName(few), few.unionByName(many)))
+    assert one and one == two

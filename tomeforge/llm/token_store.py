@@ -64,23 +64,25 @@ def train_dictionary(docs: DataFrame, sample_docs: int = 2000, dict_bytes: int =
     """A zstandard dictionary from the ids of about `sample_docs` documents, drawn by a seeded hash of the row.
 
     A sampled document gives up to `sample_bytes` of ids from its middle: dictionaries hold
-    what recurs between documents. Too little to train on gives an empty dictionary.
+    what recurs between documents. Equal rows are drawn together and count once; of more than twice
+    `sample_docs` the smallest hashes count, so the dictionary depends on the rows alone. Too little to train on gives an empty dictionary.
     """
     total = docs.count()
     if not total:
         return b""
     share = min(1.0, sample_docs / total)
     draw = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)), F.lit(1 << 30))
-    source = docs.where(F.length(F.col(text_col)) > 0).where(draw < math.ceil(share * (1 << 30))).select(F.col(text_col).alias("text"))
+    source = docs.where(F.length(F.col(text_col)) > 0).where(draw < math.ceil(share * (1 << 30))).select(draw.alias("draw"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary)
         for batch in batches:
             ids = [encoder(t) for t in batch.column("text").to_pylist()]
             parts = [i if len(i) <= sample_bytes else i[(a := (len(i) - sample_bytes) // 4 * 2) : a + sample_bytes] for i in ids]
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary())], names=["part"])
+            yield pa.RecordBatch.from_arrays([batch.column("draw"), pa.array(parts, pa.binary())], names=["draw", "part"])
 
-    parts = sorted(r[0] for r in source.mapInArrow(run, "part binary").limit(2 * sample_docs).collect())
+    drawn = source.mapInArrow(run, "draw long, part binary").distinct().orderBy("draw", "part").limit(2 * sample_docs)
+    parts = sorted(r["part"] for r in drawn.collect())
     try:
         return zstandard.train_dictionary(dict_bytes, [bytes(p) for p in parts]).as_bytes()
     except zstandard.ZstdError:
