@@ -65,6 +65,50 @@ def roots(pairs):
     return {x: find(x) for x in list(parent)}
 
 
+def classes(rows, threshold=0.5, n=3):
+    """Rows (id, class_id, n_links, n_copies) by comparing all sets with each other."""
+    sets, out = {}, set()
+    for i, text, *_ in rows:
+        if i is not None and (g := grams(text, n)):
+            sets.setdefault(g, set()).add(i)
+        elif i is not None:
+            out.add((i, i, 0, 0))
+    names = list(sets)
+    linked = [(x, y) for x, y in itertools.combinations(range(len(names)), 2) if len(names[x] & names[y]) / len(names[x] | names[y]) >= threshold - 1e-12]
+    group = roots(linked)
+    for k, g in enumerate(names):
+        together = [j for j in range(len(names)) if group.get(j, j) == group.get(k, k)]
+        least = min(min(sets[names[j]]) for j in together)
+        out |= {(i, least, sum(k in pair for pair in linked), len(sets[g]) - 1) for i in sets[g]}
+    return out
+
+
+def test_classes_against_all_pairs(spark):
+    rng = random.Random(12)
+    rows = corpus(60)
+    base = words(rng, 50).split()
+    for k in range(30):
+        own = list(base)
+        for _ in range(rng.randrange(0, 6)):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(9)}"
+        rows.append((1000 + k, " ".join(own), "en", "s", 0))
+    # one id with two texts, one of which is near 1000's; rows that are repeated; no words at all
+    rows += [(None, rows[0][1], None, None, None), rows[5], (5, rows[-3][1] + " and", "en", "s", 0), (3000, "...", "en", "s", 0), (3000, "...", "en", "s", 0)]
+    docs = with_extra(frame(spark, rows), "id", "doc", "class_id", "n_links", "root").repartition(3)
+    found = N.similar_classes(docs)
+    assert sorted(map(tuple, found.collect())) == sorted(classes(rows)) and found.columns == ["doc_id", "class_id", "n_links", "n_copies"]
+
+
+def test_one_id_with_several_texts(spark):
+    rng = random.Random(4)
+    one, two = words(rng, 60), words(rng, 60)
+    rows = [(1, one, "en", "s", 0), (1, two, "en", "s", 0), (2, one + " a", "en", "s", 0), (2, two + " b", "en", "s", 0), (3, two + " c d", "en", "s", 0)]
+    docs = frame(spark, rows)
+    assert pairs_of(N.similar_pairs(docs)) == brute(rows, 0.5)
+    assert sorted(map(tuple, N.similar_classes(docs).collect())) == sorted(classes(rows))
+    assert [r["doc_id"] for r in N.drop_near_copies(docs).collect()] == [1, 1]
+
+
 def test_components(spark):
     rng = random.Random(9)
     pairs = [(i, i + 1) for i in range(60)] + [tuple(rng.sample(range(100, 160), 2)) for _ in range(35)] + [(500, 400), (500, 400), (7, 7)]
@@ -86,8 +130,12 @@ def test_empty_and_wrong_parameters(spark):
     empty = frame(spark).where("false")
     assert N.similar_pairs(empty).count() == 0 and N.drop_near_copies(empty).count() == 0
     assert N.similar_pairs(frame(spark, [(1, None, None, None, None), (2, "", "en", "s", 0)])).count() == 0
+    assert N.similar_classes(empty).count() == 0
+    assert sorted(map(tuple, N.similar_classes(frame(spark, [(1, None, None, None, None), (2, "", "en", "s", 0)])).collect())) == [(1, 1, 0, 0), (2, 2, 0, 0)]
     with pytest.raises(ValueError):
         N.similar_pairs(empty, 0.0)
+    with pytest.raises(ValueError, match="integer"):
+        N.similar_classes(frame(spark).selectExpr("cast(doc_id as string) as doc_id", "text"))
 
 
 def test_overlaps_by_product():

@@ -3,7 +3,7 @@
 The method is an exact prefix-filtering set-similarity join:
 
 1. Each text becomes the set of its hashed word n-grams. Documents with equal sets share one
-   64-bit signature and count once from here on (their pairs are a star around the smallest id).
+   64-bit signature, which stands for them from here on; who has it is kept aside.
 2. Sets are shuffled by n-gram, packed by block. An n-gram's document frequency gives the global
    order, rarest first. N-grams of one set alone come first in their document's order and can't
    match anything, so only their number is kept; the others go back to their document.
@@ -101,18 +101,21 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _scan(n: int, buckets: int):
-    """Texts to packed rows: kind 0 holds (signature, id, size) of documents, kind 1 n-grams of signatures."""
+    """Texts to packed rows: kind 0 holds (signature, id, size) of documents, kind 1 n-grams of signatures, kind 2 ids without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch, "text", 6 << 20):
                 doc, gram = gram_sets(as_text(block.column("text")), n)
+                every = block.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
+                if len(bare := every[np.bincount(doc, minlength=len(every)) == 0]):
+                    yield _batch([(int(bare[0] % buckets), 2, b"", b"", bare.tobytes(), b"", b"")])
                 if not len(doc):
                     continue
                 first, size = _runs(doc)
                 signature = np.add.reduceat(mix64(gram + np.uint64(1)), first)
                 signature = mix64(signature + size.astype(np.uint64))
-                ids = block.column("id").to_numpy(zero_copy_only=False).astype(np.int64)[doc[first]]
+                ids = every[doc[first]]
                 rows = []
                 home = (signature % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(home, kind="stable")
@@ -148,7 +151,7 @@ def _frequencies(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         passed, owners, grams = [], [], []
         for row in table.to_pylist():
-            if row["kind"] == 0:
+            if row["kind"] != 1:
                 passed.append(tuple(row[c] for c in _COLUMNS))
                 continue
             names = np.cumsum(_unplanes(row["owners"]))
@@ -181,35 +184,36 @@ def _frequencies(buckets: int):
     return run
 
 
-_SETS = "kind int, doc long, other long, size long, probes int, ranks binary, grams binary, classes binary"
+_SETS = "kind int, doc long, id long, size long, probes int, ranks binary, grams binary, classes binary"
 
 
 def _sets(threshold: float):
-    """One bucket of signatures: edges to exact copies (kind 0), and sets that may have partners (kind 1).
+    """One bucket of signatures: which ids have which (kind 0), sets that may have partners (kind 1), ids without one (kind 2).
 
-    `ranks` and `grams` are document frequencies and n-grams that others share, in global order and
-    by byte planes; the first `probes` of them fall into the prefix.
+    `doc` is the signature. `ranks` and `grams` are document frequencies and n-grams that others
+    share, in global order and by byte planes; the first `probes` of them fall into the prefix.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        member, shared = [], []
+        none = np.zeros(0, np.int64)
+        member, shared, bare = [(none.view(np.uint64), none, none)], [], [none]
         for row in table.to_pylist():
-            if row["kind"] == 0:
+            if row["kind"] == 2:
+                bare.append(np.frombuffer(row["ids"], np.int64))
+            elif row["kind"] == 0:
                 names = np.frombuffer(row["owners"], np.uint64)
                 member.append((names, np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.int64)))
             else:
                 names = np.cumsum(_unplanes(row["owners"]))
                 shared.append((names[_unplanes(row["index"]).astype(np.int64)], _unplanes(row["sizes"]), np.cumsum(_unplanes(row["grams"]))))
-        out = []
         owner, ids, size = (np.concatenate(x) for x in zip(*member))
         order = np.lexsort((ids, owner))
         owner, ids, size = owner[order], ids[order], size[order]
-        first, many = _runs(owner)
-        keeper = np.repeat(ids[first], many)
-        for a, b in zip(keeper.tolist(), ids.tolist()):
-            if a != b:
-                out.append((0, a, b, 0, 0, None, None, None))
-        out = list(dict.fromkeys(out))  # a repeated row is no further copy
+        fresh = np.ones(len(owner), bool)
+        fresh[1:] = (owner[1:] != owner[:-1]) | (ids[1:] != ids[:-1])  # a repeated row is no further copy
+        owner, ids, size = owner[fresh], ids[fresh], size[fresh]
+        first = _runs(owner)[0]
+        out = []
         if shared:
             who, df, gram = (np.concatenate(x) for x in zip(*shared))
             order = np.lexsort((gram, df, who))
@@ -221,15 +225,24 @@ def _sets(threshold: float):
                 if probes > 0:
                     g = gram[s : s + m]
                     classes = np.bincount((g % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES).astype("<u4")
-                    out.append((1, int(ids[first[k]]), 0, n, min(probes, m), _planes(df[s : s + m]), _planes(g), classes.tobytes()))
-        names = ["kind", "doc", "other", "size", "probes", "ranks", "grams", "classes"]
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-        columns = list(zip(*out)) if out else [[]] * len(names)
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+                    out.append((int(owner[first[k]].view(np.int64)), n, min(probes, m), _planes(df[s : s + m]), _planes(g), classes.tobytes()))
+        bare = np.unique(np.concatenate(bare))
+        ids, owner = np.concatenate([ids, bare]), np.concatenate([owner.view(np.int64), np.zeros(len(bare), np.int64)])
+        kind = np.repeat(np.array([0, 2], np.int32), [len(ids) - len(bare), len(bare)])
+        zero = np.zeros(len(ids), np.int64)
+        held = pa.Table.from_arrays([pa.array(kind), pa.array(owner), pa.array(ids), pa.array(zero), pa.array(zero.astype(np.int32)), *(pa.nulls(len(ids), pa.binary()) for _ in range(3))], names=_SET_COLUMNS)
+        columns = list(zip(*out)) if out else [[]] * 6
+        types = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 3]
+        doc, *rest = (pa.array(c, t) for c, t in zip(columns, types))
+        probing = pa.Table.from_arrays([pa.array(np.ones(len(out), np.int32)), doc, pa.array(np.zeros(len(out), np.int64)), *rest], names=_SET_COLUMNS)
+        return pa.concat_tables([held, probing])
 
     return run
 
 
+_SET_COLUMNS = ["kind", "doc", "id", "size", "probes", "ranks", "grams", "classes"]
+
+
 _EARLIER = [f"earlier{k}" for k in range(1, WITNESSES + 1)]
 _PROBES = "gram long, df long, doc long, size long, place long, classes binary, " + ", ".join(f"{e} long" for e in _EARLIER)
 
@@ -394,33 +407,21 @@ def _verify(threshold: float):
     return run
 
 
-def similar_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(<id>_a, <id>_b, jaccard) with a < b: every pair of distinct n-gram sets at or above the threshold.
-
-    Words are split at white space, lowered, and stripped of all but letters, marks and digits. A
-    text of 1 to n-1 words has one gram, all of its words. Documents with equal sets are
-    represented by their smallest id: each other one is paired with it, at 1.0, and pairs with
-    other sets are reported for it alone, so thousands of copies give as many rows, not millions.
-
-    * Null and empty texts, texts without words, and rows with a null id have no pairs.
-    * Rows that repeat an id count once for each distinct set; an id is never paired with itself.
-    * An empty table gives an empty result. Columns other than the id and the text are not read.
-    * Ids must be integers. N-grams are 48-bit hashes and signatures 64-bit: in a corpus of 10^10
-      distinct documents a handful are expected to share a signature by chance.
-    """
+def _similar_sets(docs: DataFrame, threshold: float, n: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, doc) of every document with words, `doc` being its set's signature, (a, b, jaccard) of similar sets, and the other ids."""
     if not 0 < threshold <= 1 or n < 1:
         raise ValueError("threshold must be in (0, 1] and n at least 1")
+    if dict(docs.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{id_col} must be an integer column")
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     buckets = buckets_for(text_bytes(source, "text"), BUCKET_BYTES)
     packed = source.mapInArrow(_scan(n, buckets), _PACKED)
     counted = packed.groupBy("bucket").applyInArrow(_frequencies(buckets), _PACKED)
     found = cut(counted.groupBy("bucket").applyInArrow(_sets(threshold), _SETS))
-    copies = found.where("kind = 0").select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b"), F.lit(1.0).alias("jaccard"))
     sets = found.where("kind = 1").select("doc", "size", "probes", "ranks", "grams", "classes")
     probes = sets.mapInArrow(_merge_probes, _PROBES)
-    spread = buckets
     met = (
-        probes.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(spread)))
+        probes.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)))
         .groupBy("bucket")
         .applyInArrow(_candidates(threshold), _PAIR)
         .groupBy("a", "b")
@@ -430,16 +431,65 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, id_col: s
     met = cut(met)
     wanted = met.select(F.col("gram").alias("at"), F.explode(F.array("a", "b")).alias("doc")).distinct()
     sent = wanted.join(sets.select("doc", "size", "grams"), "doc")
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(2 * spread))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(2 * buckets))
     verified = (
         met.withColumn("bucket", place("gram"))
         .groupBy("bucket")
         .cogroup(sent.withColumn("bucket", place("at")).groupBy("bucket"))
         .applyInArrow(_verify(threshold), "a long, b long, jaccard double")
     )
-    # an id that occurs with several texts may meet another id at more than one of them
-    pairs = copies.unionByName(verified).groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
-    return pairs.select(F.col("a").alias(f"{id_col}_a"), F.col("b").alias(f"{id_col}_b"), "jaccard")
+    return found.where("kind = 0").select("id", "doc"), verified, found.where("kind = 2").select("id").distinct()
+
+
+def similar_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(<id>_a, <id>_b, jaccard) with a < b: every pair of distinct n-gram sets at or above the threshold.
+
+    Words are split at white space, lowered, and stripped of all but letters, marks and digits. A
+    text of 1 to n-1 words has one gram, all of its words. Documents with equal sets are
+    represented by their smallest id: each other one is paired with it, at 1.0, and pairs with
+    other sets are reported for it alone, so thousands of copies give as many rows, not millions.
+
+    * Null and empty texts, texts without words, and rows with a null id have no pairs.
+    * Rows that repeat an id count once for each distinct set; an id is never paired with itself, and
+      of several pairs of sets with the same two ids the most similar one is given.
+    * An empty table gives an empty result. Columns other than the id and the text are not read.
+    * Ids must be integers (else ``ValueError``). N-grams are 48-bit hashes and signatures 64-bit: in
+      a corpus of 10^10 distinct documents a handful are expected to share a signature by chance.
+    """
+    members, links, _ = _similar_sets(docs, threshold, n, id_col, text_col)
+    first = members.groupBy("doc").agg(F.min("id").alias("first"))
+    copies = members.join(first, "doc").where("id <> first").select(F.col("first").alias("x"), F.col("id").alias("y"), F.lit(1.0).alias("jaccard"))
+    named = links.join(first.select(F.col("doc").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("doc").alias("b"), F.col("first").alias("y")), "b")
+    pairs = copies.unionByName(named.select("x", "y", "jaccard").where("x <> y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
+    return pairs.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard")).select(F.col("a").alias(f"{id_col}_a"), F.col("b").alias(f"{id_col}_b"), "jaccard")
+
+
+def similar_classes(docs: DataFrame, threshold: float = 0.5, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, class_id, n_links, n_copies): every document's class of near copies, one row a document.
+
+    A class is a connected component of the similar n-gram sets of :func:`similar_pairs`, named by its
+    smallest id. `n_links` is the number of other sets, each a text that differs, to which the
+    document's own is similar; `n_copies` is the number of other documents with an equal set.
+
+    * A document without words (null and empty texts too) is its own class, without links or copies.
+    * Rows with a null id have no row. Rows that repeat an id have one for each distinct set.
+    * An empty table gives an empty result; ids must be integers. Ties need no rule: all links count.
+    """
+    members, links, wordless = _similar_sets(docs, threshold, n, id_col, text_col)
+    links = cut(links.select("a", "b"))
+    ends = links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("n_links"))
+    sets = (
+        members.groupBy("doc").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("many"))
+        .join(ends, "doc", "left")
+        .join(components(links, "a", "b").withColumnRenamed("node", "doc"), "doc", "left")
+    )
+    sets = sets.select("doc", "first", "many", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "doc").alias("root"))
+    sets = cut(sets)
+    names = sets.groupBy("root").agg(F.min("first").alias("class_id"))
+    known = members.join(sets.join(names, "root").select("doc", "class_id", "n_links", (F.col("many") - 1).alias("n_copies")), "doc")
+    zero = F.lit(0).cast("long")
+    rows = known.select("id", "class_id", "n_links", "n_copies").unionByName(wordless.select("id", F.col("id").alias("class_id"), zero.alias("n_links"), zero.alias("n_copies")))
+    return rows.select(F.col("id").alias(id_col), "class_id", "n_links", "n_copies")
 
 
 def components(pairs: DataFrame, a: str = "doc_id_a", b: str = "doc_id_b") -> DataFrame:
@@ -475,25 +525,29 @@ def components(pairs: DataFrame, a: str = "doc_id_a", b: str = "doc_id_b") -> Da
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = 0.5, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those in whose group of near copies a smaller id exists; all columns stay.
+    """The documents without those in whose class of :func:`similar_classes` a smaller id exists; all columns stay.
 
-    A group is a connected component of :func:`similar_pairs`. Rows with a null id stay, and rows
-    that repeat an id go or stay together.
+    Rows with a null id, and texts without words, stay. Rows that repeat an id go or stay together:
+    they go where one of their sets has a class with a smaller id. An empty table stays empty.
     """
-    groups = components(similar_pairs(docs, threshold, n, id_col, text_col), f"{id_col}_a", f"{id_col}_b")
     name = free_name("gone", docs)
-    gone = groups.where("node <> root").select(F.col("node").alias(name))
+    classes = similar_classes(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), threshold, n, "id", "text")
+    gone = classes.where("id <> class_id").select(F.col("id").alias(name)).distinct()
     return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")
 
 
 SQL = r"""
-WITH w AS (SELECT doc_id, list_filter(list_transform(string_split_regex(lower(text), '\s+'),
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(list_transform(string_split_regex(lower(coalesce(text, '')), '\s+'),
              lambda x: regexp_replace(x, '[^\p{L}\p{M}\p{N}]+', '', 'g')), lambda x: x <> '') AS w
-           FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+           FROM documents WHERE doc_id IS NOT NULL),
 s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2])
              ELSE [array_to_string(w, ' ')] END)) AS g FROM w WHERE len(w) > 0),
-k AS (SELECT g, min(doc_id) AS d, len(g) AS n FROM s GROUP BY g),
+k AS (SELECT g, min(doc_id) AS d, len(g) AS n, count(*) - 1 AS copies FROM s GROUP BY g),
 e AS (SELECT d, n, unnest(g) AS g FROM k),
-o AS (SELECT x.d AS a, y.d AS b, x.n AS na, y.n AS nb, count(*) AS c FROM e x JOIN e y ON x.g = y.g AND x.d < y.d GROUP BY ALL)
-SELECT a AS doc_id_a, b AS doc_id_b, c / (na + nb - c) AS jaccard FROM o WHERE c / (na + nb - c) >= 0.5 - 1e-12
-UNION ALL SELECT k.d, s.doc_id, 1.0 FROM s JOIN k ON s.g = k.g AND s.doc_id <> k.d"""
+o AS (SELECT x.d AS a, y.d AS b, x.n AS na, y.n AS nb, count(*) AS c FROM e x JOIN e y ON x.g = y.g AND x.d <> y.d GROUP BY ALL),
+l AS (SELECT a, b FROM o WHERE c / (na + nb - c) >= 0.5 - 1e-12),
+r(d, x) AS (SELECT d, d FROM k UNION SELECT r.d, l.b FROM r JOIN l ON l.a = r.x),
+c AS (SELECT d, min(x) AS class_id FROM r GROUP BY d),
+m AS (SELECT a, count(*) AS links FROM l GROUP BY a)
+SELECT s.doc_id, c.class_id, coalesce(m.links, 0) AS n_links, k.copies AS n_copies FROM s JOIN k ON s.g = k.g JOIN c ON c.d = k.d LEFT JOIN m ON m.a = k.d
+UNION ALL SELECT doc_id, doc_id, 0, 0 FROM w WHERE len(w) = 0"""
