@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tomeforge.llm import context_mixing, decontaminate, ngram_join, packing, passage_dedup, pii, repetition, sharding, token_store, toxicity, unit_dedup
+from tomeforge.llm import context_mixing, decontaminate, ngram_join, packing, passage_dedup, pii, repetition, sharding, token_store, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,12 +46,8 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_spans(_table(spark, sf_dir, "documents"))
 
 
-def op9_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unit_dedup.repeated_units(_table(spark, sf_dir, "documents"))
-
-
 def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passage_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+    return passage_dedup.cut_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,8 +56,8 @@ def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_repetition, op3_packing, op4_sharding, op5_token_store, op6_decontamination, op7_ngram_join, op8_pii, op9_passage_dedup, op9_unit_dedup, op10_context_mixing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_repetition, op3_packing, op4_sharding, op5_token_store, op6_decontamination, op7_ngram_join, op8_pii, op9_passage_dedup, op10_context_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": sharding.sql(), "op7_ngram_join": ngram_join.SQL, "op9_unit_dedup": unit_dedup.SQL}
+    return {"op4_sharding": sharding.sql(), "op7_ngram_join": ngram_join.SQL, "op9_passage_dedup": passage_dedup.SQL}
