@@ -1,13 +1,15 @@
 import math
 import random
-import re
 
+import numpy as np
 import pytest
 
 from tests.compare import spark_rows, text
 from tests.llm.data import frame, with_extra
 from tomeforge.llm import packing as P
 from tomeforge.llm import sharding as S
+from tomeforge.llm import token_store as S5
+from tomeforge.llm.token_store import Encoder
 
 
 def slow_first_fit(sizes, capacity):
@@ -29,35 +31,57 @@ def test_tree_against_a_scan():
         assert P.first_fit(sizes, 50) == slow_first_fit(sizes, 50)
 
 
+ENCODER = Encoder()
+PLAIN = ENCODER.plain.encode_ordinary
+
+
 def tokens(t):
-    return len(re.findall(r"[^\W_]+|[^\s]", t or "")) if t else 0
+    return len(PLAIN(t or ""))
 
 
 def test_packing_against_brute_force(spark):
-    docs = with_extra(frame(spark), "id", "n", "piece", "group_id")
+    docs = with_extra(frame(spark), "id", "n", "piece", "group_id", "row")
     rows = P.pack(docs, capacity=32, group_docs=20).collect()
     pieces = {}
     for r in rows:
-        pieces.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["n_tokens"]))
+        pieces.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["n_tokens"], r["tokens"]))
     for doc_id, t, *_ in docs.select("doc_id", "text").collect():
         own = sorted(pieces[doc_id])
-        assert sum(p[2] for p in own) == tokens(t) + 1 and [p[0] for p in own] == list(range(len(own)))
-        assert [p[1] for p in own] == [32 * k for k in range(len(own))]
+        ids = np.frombuffer(b"".join(p[3] for p in own), "<u2").tolist()
+        assert ids == [*PLAIN(t or ""), ENCODER.end] and all(len(p[3]) == 2 * p[2] for p in own)
+        assert [p[0] for p in own] == list(range(len(own))) and [p[1] for p in own] == [32 * k for k in range(len(own))]
     for group in {r["group_id"] for r in rows}:
         own = sorted((r for r in rows if r["group_id"] == group), key=lambda r: (-r["n_tokens"], r["doc_id"], r["piece"]))
         assert [r["bin_id"] - (group << 32) for r in own] == slow_first_fit([r["n_tokens"] for r in own], 32)
     assert len({(r["bin_id"], r["slot"]) for r in rows}) == len(rows) and len({r["group_id"] for r in rows}) > 1
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, P.pack(docs.repartition(3), capacity=32, group_docs=20).collect()))
 
 
 def test_packing_edges(spark):
-    rows = [(None, "a b", None, None, None), (1, None, None, None, -5), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (3, "x " * 30_000, "en", "s", 60_000)]
+    big = 2**53
+    rows = [(None, "a b", None, None, None), (1, None, None, None, -5), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (3, "x " * 30_000, "en", "s", 60_000), (big + 1, "a", "en", "s", 0), (big + 3, "b", "en", "s", 0)]
     found = P.pack(frame(spark, rows), capacity=100).collect()
-    assert sum(r["doc_id"] == 2 for r in found) == 2 and sum(r["n_tokens"] for r in found if r["doc_id"] == 3) == 30_001
+    assert {r["doc_id"] for r in found} == {None, 1, 2, 3, big + 1, big + 3}  # a null beside them changes no id
+    assert sum(r["doc_id"] == 2 for r in found) == 2 and sum(r["n_tokens"] for r in found if r["doc_id"] == 3) == tokens(rows[4][1]) + 1
     assert {r["n_tokens"] for r in found if r["doc_id"] == 1} == {1} and [r["n_tokens"] for r in found if r["doc_id"] is None] == [3]
-    assert P.pack(frame(spark, rows), capacity=100, length_col="n_chars").where("doc_id = 1").first()["n_tokens"] == 1
     assert P.pack(frame(spark, rows).where("false")).count() == 0
     with pytest.raises(ValueError):
         P.pack(frame(spark, rows), capacity=0)
+    with pytest.raises(ValueError, match="Piece"):
+        P.pack(frame(spark, rows).withColumnRenamed("doc_id", "Piece"), id_col="Piece")
+
+
+def test_equal_rows_are_dealt_apart(spark):
+    rows = [(None, "the same", None, None, None)] * 600
+    found = P.pack(frame(spark, rows), group_docs=50).groupBy("group_id").count().collect()
+    assert sum(r["count"] for r in found) == 600 and len(found) == 12 and max(r["count"] for r in found) < 120
+
+
+def test_packed_tokens_are_those_of_the_store(spark):
+    docs = frame(spark)
+    stored = {i: n for r in S5.store(docs, b"").collect() for i, n in zip(r["doc_ids"], r["n_tokens"])}
+    packed = {r["doc_id"]: r["n"] for r in P.pack(docs).groupBy("doc_id").agg({"n_tokens": "sum"}).withColumnRenamed("sum(n_tokens)", "n").collect()}
+    assert packed == {i: max(n, 0) + 1 for i, n in stored.items()}
 
 
 def test_sharding_against_sql(spark):
@@ -107,3 +131,7 @@ def test_sharding_edges(spark):
     assert S.assign_shards(keys.where("false")).count() == 0
     with pytest.raises(ValueError):
         S.assign_shards(keys, {"a": {"b": {"c": -1.0}}})
+    with pytest.raises(ValueError, match="region"):
+        S.assign_shards(keys.withColumnRenamed("doc_id", "region"), key_col="region")
+    clash = keys.withColumnRenamed("doc_id", "_key")
+    assert S.assign_shards(clash, key_col="_key").columns == ["_key", "region", "rack", "shard"]

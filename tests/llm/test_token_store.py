@@ -22,6 +22,35 @@ def test_ids_are_those_of_the_vocabulary():
         assert encoder.decode(encoder(text)) == text
 
 
+def test_any_white_space_gives_the_plain_ids():
+    import random
+
+    import numpy as np
+
+    rng, encoder = random.Random(1), S.Encoder()
+    for _ in range(20_000):
+        text = "".join(rng.choice(["a", "b1", "it's", ".", "\n", "\t", " ", " ", "\u00a0", "  ", "\r", "é", "漢"]) for _ in range(rng.randrange(0, 9)))
+        assert np.frombuffer(encoder(text), "<u2").tolist() == encoder.plain.encode_ordinary(text), repr(text)
+
+
+def test_every_frame_opens_on_its_own(docs):
+    """By the definition: a slice of a shard, its dictionary and the plain decoder."""
+    import numpy as np
+    import zstandard
+
+    dictionary = S.train_dictionary(docs)
+    encoder, got = S.Encoder(), []
+    for row in S.store(docs, dictionary, shard_bytes=4096).collect():
+        assert row["offsets"][-1] == len(row["data"]) and len(row["offsets"]) == len(row["doc_ids"]) + 1
+        opened = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(bytes(row["dictionary"])))
+        for i, n, a, b in zip(row["doc_ids"], row["n_tokens"], row["offsets"], row["offsets"][1:]):
+            ids = np.frombuffer(opened.decompress(bytes(row["data"][a:b])), "<u2").tolist() if b > a else []
+            assert len(ids) == max(n, 0)
+            got.append((i, None if n < 0 else encoder.plain.decode(ids)))
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(got, key=key) == sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=key)
+
+
 def test_round_trip_and_single_reads(docs):
     dictionary = S.train_dictionary(docs)
     assert dictionary
@@ -37,6 +66,8 @@ def test_round_trip_and_single_reads(docs):
 def test_edges(spark, docs):
     assert S.train_dictionary(docs.where("false")) == b"" and S.train_dictionary(docs.where("doc_id = 1")) == b""
     assert S.store(docs.where("false"), b"").count() == 0
+    with pytest.raises(ValueError, match="n_tokens"):
+        S.read(S.store(docs.where("doc_id = 1"), b"").withColumnRenamed("doc_ids", "n_tokenss"), id_col="n_tokens")
     shards = S.store(docs.where("doc_id = 1"), b"")
     broken = shards.selectExpr("shard", "'x' as dict_hash", "dictionary", "doc_ids", "offsets", "n_tokens", "data")
     with pytest.raises(Exception, match="hash"):

@@ -54,6 +54,12 @@ def free_name(name: str, frame: DataFrame) -> str:
     return name
 
 
+def refuse_names(column: str, *names: str) -> None:
+    """``ValueError`` where a column that is returned has the name of one that the operator adds."""
+    if column.lower() in {n.lower() for n in names}:
+        raise ValueError(f"{column!r} is the name of a column of the result; rename it first")
+
+
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     """UTF-8 bytes over the whole column: one scan, used to size partitions by the data."""
     return docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0

@@ -15,6 +15,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tomeforge.llm.common import free_name, refuse_names
+
 Topology = Mapping[str, Mapping[str, Mapping[str, float]]]
 
 #: Three regions of unequal size; one rack holds larger disks.
@@ -65,24 +67,27 @@ def assign_shards(frame: DataFrame, topology: Topology = PRODUCTION, key_col: st
     * A null key is placed as the key ``null``. Repeated rows go to the same shard and stay
       repeated. An empty table gives an empty result. Other columns are not read.
     * Nodes of weight 0 get nothing; a topology without weight gives null levels.
-    * Negative weights raise ``ValueError``.
+    * Of equal draws the first name in order wins. Negative weights raise ``ValueError``, and so does a
+      key column that is called like a level.
     """
     for racks in topology.values():
         for shards in racks.values():
             if any(w < 0 for w in shards.values()):
                 raise ValueError("weights must not be negative")
+    refuse_names(key_col, "region", "rack", "shard")
     key = F.coalesce(F.col(key_col).cast("string"), F.lit("null"))
-    out = frame.select(F.col(key_col).alias(key_col), key.alias("_key"))
-    out = out.withColumn("region", _choose(F.col("_key"), "", topology, seed))
+    hashed = free_name("_hashed", frame)
+    out = frame.select(F.col(key_col), key.alias(hashed))
+    out = out.withColumn("region", _choose(F.col(hashed), "", topology, seed))
     rack = shard = None
     for region, racks in sorted(topology.items()):
-        pick = _choose(F.col("_key"), f"{region}/", racks, seed)
+        pick = _choose(F.col(hashed), f"{region}/", racks, seed)
         rack = F.when(F.col("region") == region, pick) if rack is None else rack.when(F.col("region") == region, pick)
     out = out.withColumn("rack", rack if rack is not None else F.lit(None).cast("string"))
     for region, racks in sorted(topology.items()):
         for name, shards in sorted(racks.items()):
             here = (F.col("region") == region) & (F.col("rack") == name)
-            pick = _choose(F.col("_key"), f"{region}/{name}/", shards, seed)
+            pick = _choose(F.col(hashed), f"{region}/{name}/", shards, seed)
             shard = F.when(here, pick) if shard is None else shard.when(here, pick)
     return out.select(key_col, "region", "rack", (shard if shard is not None else F.lit(None).cast("string")).alias("shard"))
 
