@@ -36,18 +36,46 @@ def test_against_all_pairs(text, least):
 def test_suffix_array_is_sorted():
     rng = random.Random(2)
     raw = bytes(rng.choice(b"ab") for _ in range(500)) * 3
-    order, lcp = R.suffix_array(raw)
+    order = R.suffix_array(raw)
+    lcp = R.common_prefixes(raw, order)[order]
     assert [raw[i:] for i in order] == sorted(raw[i:] for i in range(len(raw)))
     common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
     wanted = [0] + [common(raw[a:], raw[b:]) for a, b in zip(order, order[1:])]
-    assert [w if w >= 8 else 0 for w in wanted] == [v if v >= 8 else 0 for v in lcp.tolist()]
+    assert wanted == lcp.tolist()
+
+
+def test_common_prefixes_of_many_kinds():
+    rng = random.Random(5)
+    word = b"a", b"b"
+    for _ in range(40):
+        word = word[1], word[0] + word[1]
+        if len(word[1]) > 3000:
+            break
+    texts = [b"x" * 3000, b"xy" * 1500, word[1], bytes(rng.choice(b"ab") for _ in range(2500)), b"".join(rng.choice([b"one ", b"two ", b"three "]) for _ in range(600)), b"q", b"", b"qq", "é\0ü".encode() * 200]
+    common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    for raw in texts:
+        order = R.suffix_array(raw)
+        assert order.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
+        found = R.common_prefixes(raw, order)[order]
+        assert found.tolist() == ([0] + [common(raw[a:], raw[b:]) for a, b in zip(order, order[1:])])[: len(raw)]
+
+
+def test_a_long_text_takes_memory_in_proportion():
+    import tracemalloc
+
+    raw = b"x" * 2_000_000
+    tracemalloc.start()
+    start, length = R.repeats(raw, 50)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert length.max() == len(raw) - 1 and R.covered(start, length) == len(raw) and most < 60 * len(raw)
 
 
 def test_limits_and_edges(spark):
     rng = random.Random(3)
     plain = " ".join(str(rng.random()) for _ in range(60))
     rows = [(1, plain, "en", "s", 0), (2, "all the same words again. " * 40, "en", "s", 0), (3, None, None, None, None), (4, "", "en", "s", 0), (None, plain, "en", "s", 0), (1, plain, "en", "s", 0), (5, "x" * 200_000, "en", "s", 0)]
-    docs = with_extra(frame(spark, rows), "covered_fraction", "id")
+    docs = with_extra(frame(spark, rows), "covered_fraction", "id", "odd`name")
     kept = R.keep_unrepetitive(docs).collect()
     assert sorted(str(r["doc_id"]) for r in kept) == ["1", "1", "3", "4", "None"] and all(r["covered_fraction"] == 0 for r in kept)
     assert R.measure(docs).where("doc_id = 5").first()["longest_repeat"] == 199_999

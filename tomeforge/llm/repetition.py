@@ -2,8 +2,9 @@
 
 The suffix array of a text's UTF-8 bytes is built by prefix doubling: suffixes are ranked by
 their first eight bytes, and groups that tie are ranked again by the rank of the suffix that
-starts where the compared part ends, doubling the compared length each time. Ranks of every round
-give the longest common prefix of neighbours. A suffix lies in one LCP interval on either side;
+starts where the compared part ends, doubling the compared length each time. The longest common
+prefix of a suffix and its neighbour is counted out only where the bytes before them differ;
+elsewhere it is one less than that of the suffix a byte earlier. A suffix lies in one LCP interval on either side;
 the longer of the two prefixes is the longest repeated substring that starts there. Those not
 contained in the one that starts a byte earlier are the maximal repeats; the union of their spans
 over all occurrences, as a fraction of the text, and the longest one are what a document is
@@ -18,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 
 def _eight(text: np.ndarray) -> np.ndarray:
@@ -30,82 +32,106 @@ def _eight(text: np.ndarray) -> np.ndarray:
     return ((four[:-4] << np.uint64(32)) | four[4:])[: len(text)]
 
 
-def suffix_array(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, lcp) of UTF-8: lcp[i] is the common prefix of suffixes i-1 and i, given as 0 where below 8."""
+def suffix_array(text: bytes) -> np.ndarray:
+    """Starts of the suffixes of UTF-8 in their order."""
     raw = np.frombuffer(text, np.uint8)
     n = len(raw)
+    small = np.int32 if n < 1 << 30 else np.int64
     if n < 2:
-        return np.arange(n), np.zeros(n, np.int64)
+        return np.arange(n, dtype=small)
     key = _eight(raw)
-    order = np.argsort(key)
+    order = np.argsort(key).astype(small)
+    key = key[order]
     tie = np.empty(n, bool)  # tie[i]: suffix i of the order equals its predecessor so far
     tie[0] = False
-    sorted_key = key[order]
-    np.equal(sorted_key[1:], sorted_key[:-1], out=tie[1:])
-    place = np.arange(n)
-    head = np.maximum.accumulate(np.where(tie, 0, place))
-    rank = np.empty(n, np.int64)
-    rank[order] = head + 1  # 0 stands behind the end
-    tied_at_eight = tie.copy()
-    rounds: list[np.ndarray] = []
+    np.equal(key[1:], key[:-1], out=tie[1:])
+    del key
+    rank = np.empty(n, small)
+    rank[order] = np.maximum.accumulate(np.where(tie, small(0), np.arange(n, dtype=small))) + small(1)  # 0 stands behind the end
     length = 8
     while True:
         open_ = tie.copy()
         open_[:-1] |= tie[1:]
-        at = np.flatnonzero(open_)
+        at = np.flatnonzero(open_).astype(small)
         if not len(at):
-            break
-        rounds.append(rank.copy())
+            return order
         suffix = order[at]
-        follow = suffix + length
-        second = np.where(follow < n, rank[np.minimum(follow, n - 1)], 0)
-        pair = rank[suffix] * np.int64(n + 1) + second
+        follow = suffix + small(length)
+        pair = rank[suffix] * np.int64(n + 1)
+        pair += np.where(follow < n, rank[np.minimum(follow, n - 1)], small(0))
+        del follow
         by = np.argsort(pair, kind="stable")
         suffix, pair = suffix[by], pair[by]
+        del by
         order[at] = suffix
         same = np.empty(len(at), bool)
         same[0] = False
         np.equal(pair[1:], pair[:-1], out=same[1:])
+        del pair
         tie[at] = same
-        head = np.maximum.accumulate(np.where(same, 0, at))
-        rank[suffix] = head + 1
+        rank[suffix] = np.maximum.accumulate(np.where(same, small(0), at)) + small(1)
         length *= 2
-    lcp = np.zeros(n, np.int64)
-    at = np.flatnonzero(tied_at_eight)
-    if len(at):
-        p, q = order[at - 1].copy(), order[at].copy()
-        common = np.zeros(len(at), np.int64)
-        for k in range(len(rounds) - 1, -1, -1):
-            inside = (p < n) & (q < n)
-            same = np.zeros(len(at), bool)
-            same[inside] = rounds[k][p[inside]] == rounds[k][q[inside]]
-            step = np.where(same, 8 << k, 0)
-            common += step
-            p += step
-            q += step
-        inside = (p < n) & (q < n)
-        left = np.zeros(len(at), np.int64)
-        differ = key[p[inside]] ^ key[q[inside]]
-        ends = np.minimum(n - p[inside], n - q[inside])
-        leading = np.full(len(differ), 8, np.int64)
-        for byte in range(8):
-            leading[(differ >> np.uint64(8 * byte)) > 0] = 7 - byte
-        left[inside] = np.minimum(leading, ends)
-        lcp[at] = np.minimum(common + left, n - np.maximum(order[at - 1], order[at]))
-    return order, lcp
+
+
+def _common(raw: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Length of the common prefix from p[i] and from q[i] on."""
+    n = len(raw)
+    out = np.zeros(len(p), np.int64)
+    live = np.arange(len(p))
+    step = 8
+    while len(live) > 64:
+        a, b = p[live] + out[live], q[live] + out[live]
+        room = n - np.maximum(a, b)
+        place = np.arange(step)
+        differ = (raw[np.minimum(a[:, None] + place, n - 1)] != raw[np.minimum(b[:, None] + place, n - 1)]) | (place >= room[:, None])
+        many = np.where(differ.any(axis=1), differ.argmax(axis=1), step)
+        out[live] += many
+        live = live[many == step]
+        step = min(2 * step, max(8, (1 << 20) // max(1, len(live))))
+    for i in live.tolist():
+        a, b, size = int(p[i] + out[i]), int(q[i] + out[i]), 64
+        while (room := min(size, n - max(a, b))) > 0:
+            differ = np.flatnonzero(raw[a : a + room] != raw[b : b + room])
+            many = int(differ[0]) if len(differ) else room
+            out[i] += many
+            if many < room:
+                break
+            a, b, size = a + room, b + room, min(2 * size, 1 << 20)
+    return out
+
+
+def common_prefixes(text: bytes, order: np.ndarray) -> np.ndarray:
+    """By start of a suffix: its common prefix with the suffix before it in the order."""
+    raw = np.frombuffer(text, np.uint8)
+    n = len(raw)
+    before = np.full(n, -1, order.dtype)
+    before[order[1:]] = order[:-1]
+    counted = before <= 0
+    counted[:1] = True
+    at = np.flatnonzero(~counted)
+    counted[at] = raw[at - 1] != raw[before[at] - 1]
+    at = np.flatnonzero(counted)
+    known = np.zeros(len(at), np.int64)
+    some = np.flatnonzero(before[at] >= 0)
+    for low in range(0, len(some), 1 << 16):
+        part = some[low : low + (1 << 16)]
+        known[part] = _common(raw, at[part].astype(np.int64), before[at[part]].astype(np.int64))
+    out = np.repeat((known + at).astype(order.dtype), np.diff(np.append(at, n)))
+    out -= np.arange(n, dtype=order.dtype)
+    return out
 
 
 def repeats(text: bytes, min_length: int) -> tuple[np.ndarray, np.ndarray]:
     """(start, length) of the maximal repeated substrings' occurrences, by start; min_length is 8 at least."""
-    order, lcp = suffix_array(text)
-    n = len(order)
-    longest = np.zeros(n, np.int64)
-    if n:
-        longest[order] = np.maximum(lcp, np.append(lcp[1:], 0))
+    order = suffix_array(text)
+    longest = common_prefixes(text, order)
+    following = longest[order[1:]]  # with the suffix behind it in the order
+    longest[order[:-1]] = np.maximum(longest[order[:-1]], following)
     longest[longest < min_length] = 0
-    inner = np.concatenate([[0], longest[:-1] - 1])  # what the repeat one byte earlier covers from here
-    start = np.flatnonzero((longest > 0) & (longest > inner))
-    return start, longest[start]
+    fresh = longest > 0
+    fresh[1:] &= longest[1:] >= longest[:-1]  # more than what the repeat one byte earlier covers from here
+    start = np.flatnonzero(fresh)
+    return start, longest[start].astype(np.int64)
 
 
 def covered(start: np.ndarray, length: np.ndarray) -> int:
@@ -121,16 +147,19 @@ def measure(docs: DataFrame, min_length: int = 50, text_col: str = "text") -> Da
     """All columns, with covered_fraction and longest_repeat (bytes) of each row's text.
 
     Null and empty texts, and texts without a repeat of `min_length` bytes, get 0 for both. Columns
-    that already have these names are replaced. One pass over the rows, without a shuffle.
+    that already have these names are replaced. One pass over the rows, without a shuffle. A text's
+    arrays take some 40 times its size while it is worked on, whatever it holds: 2 GB for 50 MB.
     """
-    docs = docs.drop("covered_fraction", "longest_repeat")
     if min_length < 8:
         raise ValueError("min_length must be 8 at least")
+    docs = docs.drop("covered_fraction", "longest_repeat")
+    names, at = docs.columns, docs.columns.index(text_col)
+    docs = docs.toDF(*(f"c{k}" for k in range(len(names))))  # names may hold anything
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fraction, most = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-            for i, text in enumerate(batch.column(text_col)):
+            for i, text in enumerate(batch.column(at)):
                 raw = text.as_buffer() if text.is_valid else None
                 if raw is None or len(raw) <= min_length:
                     continue
@@ -139,8 +168,8 @@ def measure(docs: DataFrame, min_length: int = 50, text_col: str = "text") -> Da
                     fraction[i], most[i] = covered(start, length) / len(raw), length.max()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fraction), pa.array(most)], names=[*batch.schema.names, "covered_fraction", "longest_repeat"])
 
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), "covered_fraction double", "longest_repeat long"])
-    return docs.mapInArrow(run, schema)
+    schema = StructType([*docs.schema.fields, StructField("covered_fraction", DoubleType()), StructField("longest_repeat", LongType())])
+    return docs.mapInArrow(run, schema).toDF(*names, "covered_fraction", "longest_repeat")
 
 
 def keep_unrepetitive(docs: DataFrame, min_length: int = 50, max_fraction: float = 0.5, max_longest: int = 2000, text_col: str = "text") -> DataFrame:
