@@ -8,6 +8,7 @@ reported. Of overlapping spans the best scored one stays, then the longer, then
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -18,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tomeforge.llm.common import refuse_names
+
 
 def luhn(number: str) -> bool:
     digits = [int(c) for c in number if c.isdigit()]
@@ -61,7 +64,7 @@ class Kind:
 
 _W = lambda s: frozenset(s.split())
 KINDS = (
-    Kind("email", r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9\-])", 0.9, _W("email mail e-mail contact write"), needs="@"),
+    Kind("email", r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9\-])", 0.9, _W("email mail e-mail contact write"), needs="@"),
     Kind("phone", r"(?<![\w+.])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}(?!\w)", 0.75, _W("phone call tel telephone mobile cell fax contact"), _phone, needs="+"),
     Kind("phone", r"(?<![\w+.(\-])(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[.\-]\d{4}(?![\w\-])", 0.65, _W("phone call tel telephone mobile cell fax contact"), _phone),
     Kind("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", 0.65, _W("ip address host server login from"), _octets, against=_W("version release section chapter build")),
@@ -69,7 +72,7 @@ KINDS = (
     Kind("iban", r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", 0.9, _W("iban account bank transfer konto"), mod97),
     Kind("ssn", r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])", 0.6, _W("ssn social security"), _ssn),
     Kind("key", r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)", 0.95, _W("aws key access secret"), needs="IA"),
-    Kind("secret", r"(?i:(?<!\w)(?:password|passwd|pwd|secret|token|api[_\-]?key)\s{0,3}[=:]\s{0,3}[\"']?)([^\s\"'<>]{8,256})", 0.75, _W("login user"), lambda s: any(c.isdigit() for c in s), group=1),
+    Kind("secret", r"(?i:(?<!\w)(?:password|passwd|pwd|secret|token|api[_\-]?key)\s*+[=:]\s*+[\"']?)([^\s\"'<>]{8,}+)", 0.75, _W("login user"), lambda s: any(c.isdigit() for c in s), group=1),
 )
 _NEAR = re.compile(r"[A-Za-z][A-Za-z\-]*")
 
@@ -95,11 +98,12 @@ def propose(text: str, kinds: tuple[Kind, ...] = KINDS, threshold: float = 0.6,
             score = round(min(1.0, max(0.0, score)), 4)
             if score >= threshold:
                 found.append((kind.name, start, end, score))
-    out: list[tuple[str, int, int, float]] = []
+    out: list[tuple[str, int, int, float]] = []  # by start, and as they don't overlap by end too
     for span in sorted(found, key=lambda s: (-s[3], s[1] - s[2], s[1], s[0])):
-        if all(span[2] <= o[1] or span[1] >= o[2] for o in out):
-            out.append(span)
-    return sorted(out, key=lambda s: s[1])
+        at = bisect.bisect_left(out, span[1], key=lambda o: o[1])
+        if (at == 0 or out[at - 1][2] <= span[1]) and (at == len(out) or out[at][1] >= span[2]):
+            out.insert(at, span)
+    return out
 
 
 _DIGIT = re.compile("[0-9]")
@@ -124,7 +128,9 @@ def find_spans(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, threshold: floa
 
     The matched text itself is not returned. Null and empty texts have no spans; a null id is
     reported as null. Repeated rows are reported as often as they occur; an empty table gives an
-    empty result. Other columns are not read; nothing is shuffled.
+    empty result. Of spans that overlap the best scored stays, of equal ones the longer, then the
+    earlier, then the one whose kind is first by name. Time is linear in a text, but for sorting its
+    spans. Other columns are not read; nothing is shuffled.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
@@ -138,6 +144,7 @@ def find_spans(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, threshold: floa
                 names=["id", "kind", "start_char", "end_char", "score"],
             )
 
+    refuse_names(id_col, "kind", "start_char", "end_char", "score")
     out = source.mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, kind string, start_char long, end_char long, score double")
     return out.withColumnRenamed("id", id_col)
 
@@ -145,7 +152,9 @@ def find_spans(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, threshold: floa
 def redact(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, threshold: float = 0.6, text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """The documents with each span replaced by its kind in brackets, as in [EMAIL]; all rows and columns stay.
 
-    `length_col` names a column of text lengths in characters, set anew for every changed text.
+    `length_col` names a column of text lengths in characters, set anew for every changed text. Null
+    and empty texts stay as they are, with their length; null ids don't matter. Repeated rows change
+    alike, overlaps are settled as in :func:`find_spans`, and an empty table stays empty.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
