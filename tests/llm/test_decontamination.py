@@ -65,4 +65,13 @@ def test_two_text_columns_and_edges(spark):
     assert D.contaminated(docs.where("false"), bench, item_text_cols=("question",)).count() == 0
     assert D.drop_contaminated(docs, bench.where("false"), item_text_cols=("question",)).count() == 2
     with pytest.raises(ValueError):
-        D.contaminated(docs, bench, item_text_cols=("question",), max_pattern_bytes=10)
+        D.contaminated(docs, bench, item_text_cols=("question",), max_pattern_chars=10)
+
+
+def test_short_items_are_named_and_may_be_let_in(spark):
+    docs = frame(spark, [(1, "so what is the capital of France here", "en", "s", 0)])
+    bench = spark.createDataFrame([(1, "what is the capital of France"), (2, None), (3, "one two three four five six seven eight")], ITEMS)
+    assert {(r["item_id"], r["n_words"]) for r in D.unsearched(bench).collect()} == {(1, 6), (2, 0)}
+    assert D.contaminated(docs, bench).count() == 0 and [r["item_id"] for r in D.contaminated(docs, bench, min_words=5).collect()] == [1]
+    with pytest.raises(ValueError, match="item_id"):
+        D.contaminated(docs.withColumnRenamed("doc_id", "item_id"), bench, id_col="item_id")
