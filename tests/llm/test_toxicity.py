@@ -1,4 +1,7 @@
+import collections
+import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -116,3 +119,54 @@ def test_training_on_executors_is_the_same_fit(spark):
     there = T.train(frame(spark, rows).repartition(3), spark.createDataFrame(labels, LABELS))
     here = T.fit([r[1] for r in rows], np.array([y[2] for y in labels]))
     assert (there.features == here.features).all() and there.weights == pytest.approx(here.weights, rel=1e-6) and there.mean == pytest.approx(here.mean)
+
+
+def by_hand(texts, y, rounds, rate, penalty):
+    """Features of each sentence as sets, and a plain loop that follows the gradient of every document."""
+    forms = lambda w: {w, *((k, w[:k]) for k in T.BEGINNINGS if len(w) > k)}
+    bags = [[{f for w in re.findall(r"[^\W_]+", t[a:b].lower()) for f in [(w, x) for x in forms(w)]} for a, b in T.sentence_spans(t)] for t in texts]
+    seen = lambda bag: {x for _, x in bag}
+    n = {v: sum(y) if v else len(y) - sum(y) for v in (0, 1)}
+    held = {v: collections.Counter(x for d, bag in enumerate(bags) if y[d] == v for x in set().union(*map(seen, bag))) for v in (0, 1)}
+    kept = []
+    for x, bad in held[1].items():
+        both = (bad + held[0][x]) / (n[0] + n[1])
+        z = (bad / n[1] - held[0][x] / n[0]) / math.sqrt(max(both * (1 - both), 1e-12) * (1 / n[1] + 1 / n[0]))
+        if bad >= 6 and z >= 5.0:
+            kept.append(x)
+    weight, bias, m, v = dict.fromkeys(kept, 0.0), -6.0, collections.Counter(), collections.Counter()
+    for t in range(1, rounds + 1):
+        gradient = collections.Counter({x: penalty * weight[x] for x in kept})
+        for d, bag in enumerate(bags):
+            zs = [bias + sum(weight.get(x, 0.0) for _, x in own) for own in bag]  # a word's form counts once for each word
+            total = sum(math.log1p(math.exp(z)) for z in zs)
+            slope = 0.5 / n[1] * -1 / math.expm1(max(total, 1e-9)) if y[d] else 0.5 / n[0]
+            for z, own in zip(zs, bag):
+                p = slope / (1 + math.exp(-z))
+                gradient["bias"] += p
+                for _, x in own:
+                    if x in weight:
+                        gradient[x] += p
+        for x in [*kept, "bias"]:
+            m[x] = 0.9 * m[x] + 0.1 * gradient[x]
+            v[x] = 0.999 * v[x] + 0.001 * gradient[x] ** 2
+            step = rate * (m[x] / (1 - 0.9**t)) / (math.sqrt(v[x] / (1 - 0.999**t)) + 1e-9)
+            if x == "bias":
+                bias -= step
+            else:
+                weight[x] -= step
+    return weight, bias
+
+
+def test_training_against_a_plain_loop():
+    rows, labels, _ = made(160, 9)
+    texts, y = [r[1] for r in rows], [x[2] for x in labels]
+    model = T.fit(texts, np.array(y), rounds=40)
+    weight, bias = by_hand(texts, y, 40, 0.1, 2e-5)
+    assert len(model.weights) == len(weight) > 0 and model.bias == pytest.approx(bias, rel=1e-6)
+    assert sorted(model.weights.tolist()) == pytest.approx(sorted(weight.values()), rel=1e-6)
+
+
+def test_clashing_names_are_refused(spark):
+    with pytest.raises(ValueError, match="sentence"):
+        T.offending_sentences(frame(spark).withColumnRenamed("doc_id", "sentence"), T._nothing(), id_col="sentence")

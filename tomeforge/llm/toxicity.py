@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomeforge.llm.common import WORD_CHARS, as_text, blocks, cut, hash_strings, words
+from tomeforge.llm.common import WORD_CHARS, as_text, blocks, cut, hash_strings, refuse_names, words
 
 _END = re.compile(r"[.!?…。！？]+(?=\s|$)|\n")
 
@@ -314,12 +314,17 @@ def offending_sentences(docs: DataFrame, model: Model, threshold: float = 0.5, s
                 names=["id", "doc_score", "sentence", "start_char", "end_char", "sentence_score"],
             )
 
+    refuse_names(id_col, "doc_score", "sentence", "start_char", "end_char", "sentence_score")
     out = source.mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, doc_score double, sentence long, start_char long, end_char long, sentence_score double")
     return out.withColumnRenamed("id", id_col)
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The documents that score below the threshold; all columns stay, nothing is shuffled. Null and empty texts stay."""
+    """The documents that score below the threshold; all columns stay, nothing is shuffled.
+
+    A score that equals the threshold goes. Null and empty texts score 0 and stay, and a null id doesn't
+    matter. Repeated rows go or stay together; an empty table stays empty.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
