@@ -138,6 +138,8 @@ def store(docs: DataFrame, dictionary: bytes, vocabulary: str = VOCABULARY, leve
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(lines)
         shared = zstandard.ZstdCompressionDict(shipped.value) if shipped.value else None
+        if shared is not None:
+            shared.precompute_compress(level=level)  # once for all frames
         squeeze = zstandard.ZstdCompressor(level=level, dict_data=shared).compress
         ids, frames, many, held, id_type = [], [], [], 0, None
 
