@@ -1,5 +1,8 @@
+import collections
 import json
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,6 +46,31 @@ def test_counts(pages, flat):
     assert {r["surface"]: r["wiki_occurrences"] for r in counts.occurrences(flat).collect()}["the b"] == 3.0
 
 
+def test_the_flat_counter_looks_at_raw_links(spark):
+    texts = ["[[a<b]]", "[[x|see User talk:y]]", "[[Talk User talk:z]]", "[[ :File:x]]", "[[:File:x]]", "[[<ref]]", "[[File talk: of|t]]"]
+    pages = spark.createDataFrame([(i, "T", False, None, t) for i, t in enumerate(texts)], PAGE)
+    assert as_map(counts.anchor_counts_flat(pages)) == {("a<b", "a<b"): 1, (":file:x", ":File:x"): 1}
+    assert sum(as_map(counts.anchor_counts_raw(pages)).values()) == 7
+
+
+@pytest.mark.parametrize("rows", [links.page_edges, links.page_category_rows, counts.anchor_counts_page, counts.anchor_counts_flat])
+def test_markup_is_parsed_once(spark, rows):
+    plan = rows(spark.createDataFrame(ROWS, PAGE))._jdf.queryExecution().optimizedPlan().toString()
+    # a part of the plan is a line; its operator comes first
+    filters = [line for line in plan.splitlines() if line.lstrip(" +-:").startswith("Filter")]
+    assert plan.count("regexp_extract_all") == 1 and not any("regexp" in f for f in filters)
+
+
+def test_stored_records_give_the_same_edges(pages):
+    rows = lambda frame: sorted(map(tuple, frame.collect()))
+    assert rows(links.edges(links.page_records(pages)).na.fill("~")) == rows(links.page_edges(pages).na.fill("~"))
+
+
+def test_plain_beginnings():
+    wanted = {"the.*": "the", "th[ae].*": "th", "": "", "a*b": "", "ab?": "a", "a|b": "", "(x)": "", "of the": "of the", "x{2}": "", "ab+c": "a", "\\d": "", "ñu.": "ñu"}
+    assert {p: lookup.plain_beginning(p) for p in wanted} == wanted
+
+
 def test_commonness_and_lookups(spark, flat):
     share = {(r["surface"], r["entity"]): r["commonness"] for r in counts.commonness(flat).collect()}
     assert share[("the b", "B")] == pytest.approx(2 / 3) and share[("b", "B")] == 1.0
@@ -117,6 +145,56 @@ def test_linking(spark, pages, flat):
     assert linked[(7, 0, "the b")] == "B" and linked[(7, 3, "c c")] == "C c" and {k[0] for k in linked} == {7}
 
 
+def linked_by_hand(texts, rows):
+    """{(text, pos, surface): (entity, score)} by all pairs of mentions and senses."""
+    plain = lambda t: re.findall(r"[^\W_]+", t.lower())
+    uses, documents = collections.Counter(), []
+    for _, title, redirect, _, text in rows:
+        own = [(c.split("|")[-1].strip().lower(), c.split("|")[0].strip()) for c in re.findall(r"\[\[(.*?)\]\]", text)]
+        uses.update(own)
+        documents.append((" " + " ".join(plain(text)) + " ", {e.replace(" ", "_") for _, e in own}))
+    by = collections.defaultdict(dict)
+    for (surface, entity), n in uses.items():
+        by[surface][entity] = n
+    chance = {f: min(1.0, sum(e.values()) / d) if (d := sum(f" {' '.join(plain(f))} " in t for t, _ in documents)) else 0.0 for f, e in by.items()}
+    share = {f: {e: n / sum(es.values()) for e, n in es.items() if n / sum(es.values()) >= 0.02} for f, es in by.items()}
+
+    def near(a, b):
+        a, b = a.replace(" ", "_"), b.replace(" ", "_")
+        da, db, both = sum(a in o for _, o in documents), sum(b in o for _, o in documents), sum(a in o and b in o for _, o in documents)
+        if not both:
+            return 0.0
+        if min(da, db) == len(documents):
+            return 1.0
+        return max(0.0, 1 - (math.log(max(da, db)) - math.log(both)) / (math.log(len(documents)) - math.log(min(da, db))))
+
+    out = {}
+    for i, text in texts:
+        w = plain(text or "")
+        found = [(p, " ".join(w[p : p + k])) for k in range(1, 9) for p in range(len(w) - k + 1) if " ".join(w[p : p + k]) in by]
+        for m in found:
+            others = [o for o in found if o != m]
+            best = []
+            for e, c in share[m[1]].items():
+                votes = [sum(near(e, x) * y for x, y in share[o[1]].items()) / len(share[o[1]]) for o in others]
+                best.append((-round(sum(votes) / len(votes), 9) if votes else 0.0, -c, e))
+            if best:
+                vote, _, e = min(best)
+                out[i, *m] = (e, pytest.approx((chance[m[1]] - vote) / 2, abs=1e-8))
+    return out
+
+
+def test_linking_against_all_pairs(spark):
+    rng = random.Random(6)
+    names = ["Tea", "Tea House", "Green Tea", "House", "Green", "Old Green Tea House Of The North"]
+    forms = ["tea", "the tea", "house", "green", "old green tea house of the north"]
+    rows = [(i, f"P{i}", False, None, " and ".join(rng.choice([f"[[{rng.choice(names)}|{rng.choice(forms)}]]", rng.choice(forms), f"[[{rng.choice(names)}]]"]) for _ in range(rng.randrange(1, 7)))) for i in range(25)]
+    texts = [(1, "The tea in the old green tea house of the north, and tea."), (2, "tea"), (3, None), (4, "green house green house"), (5, "nothing")]
+    pages = spark.createDataFrame(rows, PAGE)
+    got = linking.link(spark.createDataFrame(texts, "text_id int, text string"), counts.anchor_counts_flat(pages), search.build_index(pages))
+    assert {(r["text_id"], r["pos"], r["surface"]): (r["entity"], r["score"]) for r in got.collect()} == linked_by_hand(texts, rows)
+
+
 def test_stream_counts_add_up(spark, tmp_path, flat):
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
     frame = spark.createDataFrame(ROWS, PAGE)

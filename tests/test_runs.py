@@ -33,6 +33,27 @@ def test_build_and_ask(spark, tmp_path, capsys):
     assert capsys.readouterr().out.startswith("the tea\t")
 
 
+def test_write_rows_and_extend_the_index(spark, tmp_path, capsys):
+    path, index, _ = dump.write(tmp_path)
+    config, store = tmp_path / "c.toml", str(tmp_path / "index")
+    config.write_text(f'[data]\ndump = "{path}"\nindex = "{index}"\n[search_index]\nindex_dir = "{store}"\n')
+
+    def lines(kind):
+        cli.main(["--config", str(config), "write", kind, str(tmp_path / kind)])
+        return [r[0] for r in spark.read.text(str(tmp_path / kind)).collect()]
+
+    assert sorted(lines("redirects")) == ["Old Tea\tTea & more"] and "10\tTemplate:Box" in lines("titles")
+    assert any('"title":"Tea"' in x for x in lines("pages")) and len(lines("categories")) == len(lines("categories-json")) == len(lines("anchors-json"))
+    capsys.readouterr()
+    cli.main(["--config", str(config), "extend"])
+    built = int(capsys.readouterr().out)
+    assert built == spark.read.parquet(store).count() > 0
+    spark.read.parquet(store).where("id <> 11").write.parquet(store + "-part")
+    config.write_text(config.read_text().replace(store, store + "-part"))
+    cli.main(["--config", str(config), "extend"])
+    assert int(capsys.readouterr().out) == 1 and spark.read.parquet(store + "-part").count() == built
+
+
 def test_entry_without_the_corpus_operators():
     code = (
         "import sys\n"

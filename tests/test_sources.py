@@ -92,3 +92,46 @@ def test_settings(tmp_path):
     path.write_text("[data]\ndump = ''\n")
     with pytest.raises(ValueError):
         Settings.load(str(path))
+
+
+def test_history_dumps_give_a_row_for_each_revision(spark, tmp_path):
+    revision = lambda n: f"<revision><id>{n}</id><text>text {n}</text></revision>"
+    (tmp_path / "h.xml").write_text(f"<mediawiki><page><title>A</title><id>1</id>{revision(5)}{revision(6)}</page><page><title>B</title><id>2</id></page></mediawiki>")
+    pages = dumps.pages_of(dumps.read_history(spark, str(tmp_path / "h.xml")))
+    assert sorted((r["title"], r["page_id"], str(r["text"])) for r in pages.collect()) == [("A", 1, "text 5"), ("A", 1, "text 6"), ("B", 2, "None")]
+
+
+def test_compatible_ids_at_offsets(spark, tmp_path):
+    path, _, offsets = dump.write(tmp_path)
+    wanted = spark.createDataFrame([(o,) for o in offsets], "offset long")
+    found = multistream.read_pages_at(path, wanted, compat_ids=True)
+    every = dumps.pages_of(dumps.read_dump(spark, path), compat_ids=True)
+    assert sorted((r["title"], r["page_id"]) for r in found.collect()) == sorted((r["title"], r["page_id"]) for r in every.collect())
+
+
+def test_written_dumps_are_read_again(spark, tmp_path):
+    from tomeforge.operators import sinks
+
+    rows = [(1, "A & <B>", False, None, "  x\n\n[[y]] & <z> \"q\"  "), (2, "R", True, "A & \"B\"", "#R"), (3, None, False, None, None), (4, "Empty", False, None, "")]
+    pages = spark.createDataFrame(rows, "page_id bigint, title string, is_redirect boolean, redirect_to string, text string")
+    wanted = sorted((*r[:4], r[4] or None) for r in rows)
+    sinks.write_dump(pages, str(tmp_path / "d"))
+    assert sorted(map(tuple, dumps.pages_of(dumps.read_dump(spark, str(tmp_path / "d"))).collect()), key=lambda r: r[0]) == wanted
+    index = multistream.write_streams(sinks.dump_xml(pages), str(tmp_path / "one.bz2"), size=3).cache()
+    offsets = indices.parse_index_lines(index)
+    assert offsets.select("offset").distinct().count() == 2
+    found = multistream.read_pages_at(str(tmp_path / "one.bz2"), offsets).drop("offset")
+    assert sorted(map(tuple, found.collect()), key=lambda r: r[0]) == wanted
+
+
+def test_the_shared_folder_is_the_cluster_s(spark):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from tomeforge.sources.shared import new_path, shared_folder
+
+    assert new_path(spark, "x").startswith(shared_folder(spark)) and new_path(spark, "x") != new_path(spark, "x")
+    lacking = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="yarn", getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError):
+        shared_folder(lacking)

@@ -1,4 +1,4 @@
-"""Command line: python -m tomeforge {build,index,anchors,counts,prefix,phrase,link} ..."""
+"""Command line: python -m tomeforge {build,index,extend,anchors,write,counts,prefix,phrase,link} ..."""
 
 from __future__ import annotations
 
@@ -17,7 +17,11 @@ def parser() -> argparse.ArgumentParser:
     sub = out.add_subparsers(dest="command", required=True)
     sub.add_parser("build", help="indices, templates and anchor counts; what exists is kept")
     sub.add_parser("index", help="the search index")
+    sub.add_parser("extend", help="add what the search index lacks")
     sub.add_parser("anchors", help="one line for each anchor")
+    write = sub.add_parser("write", help="lines of one kind, as text")
+    write.add_argument("kind", choices=[*runs.ROWS, "titles"])
+    write.add_argument("path")
     for name, what in (("counts", "entities of a surface form"), ("prefix", "keys that begin with a text"), ("phrase", "number of documents with a phrase"), ("link", "entities in a text")):
         sub.add_parser(name, help=what).add_argument("query")
     return out
@@ -31,6 +35,10 @@ def main(arguments: list[str] | None = None) -> None:
         runs.build_counts(spark, settings)
     elif asked.command == "index":
         runs.build_index(spark, settings)
+    elif asked.command == "extend":
+        print(runs.extend_index(spark, settings))
+    elif asked.command == "write":
+        runs.write_rows(spark, settings, asked.kind, asked.path)
     elif asked.command == "anchors":
         runs.write_anchors(spark, settings)
     elif asked.command in ("counts", "prefix"):

@@ -39,7 +39,7 @@ def utrim(value: Column) -> Column:
 
 def closed_part(text: Column) -> Column:
     """The text through its last ``]]``: no link that is closed opens behind it."""
-    return F.left(text, F.length(text) - F.length(F.substring_index(text, "]]", -1)))
+    return F.regexp_extract(text, r"(?s)^.*\]\]", 0)
 
 
 def link_candidates(text: Column) -> Column:
@@ -81,13 +81,12 @@ def parse_anchor(candidate: Column) -> Column:
 
 def before_references(text: Column) -> Column:
     """The text ahead of the last references heading, or all of it."""
-    tail = F.length(F.substring_index(text, MARKER, -1)) + len(MARKER)
-    return F.when(F.contains(text, F.lit(MARKER)), F.left(text, F.length(text) - tail)).otherwise(text)
+    return F.regexp_replace(text, f"(?s)^(.*){MARKER}.*$", "$1")
 
 
 def from_references(text: Column) -> Column:
     """The text from the last references heading on, or all of it."""
-    return F.when(F.contains(text, F.lit(MARKER)), F.concat(F.lit(MARKER), F.substring_index(text, MARKER, -1))).otherwise(text)
+    return F.regexp_replace(text, f"(?s)^.*(?={MARKER})", "")
 
 
 def page_anchors(text: Column) -> Column:
@@ -128,9 +127,10 @@ def anchor_kind(page: Column) -> Column:
     return out
 
 
-def counts_in_flat(page: Column) -> Column:
-    """Whether the flat counter takes a target."""
-    return ~(page.startswith(":") | F.contains(page, F.lit("<")) | starts_with_any(page, ("User talk:", "File talk:")))
+def counts_in_flat(candidate: Column) -> Column:
+    """Whether the flat counter takes a link, by its raw text: label, blanks and fragment included."""
+    talk = F.contains(candidate, F.lit("User talk:")) | F.contains(candidate, F.lit("File talk:"))
+    return ~(candidate.startswith(":") | candidate.startswith("<") | talk)
 
 
 def surface_key(page: Column, surface: Column) -> Column:

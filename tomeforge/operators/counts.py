@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomeforge.functions import wikitext as W
-from tomeforge.operators.links import page_records
-from tomeforge.sources.dumps import raw_pages
+from tomeforge.sources.dumps import articles, raw_pages
 
 
 def _count(keys: DataFrame) -> DataFrame:
@@ -15,22 +14,25 @@ def _count(keys: DataFrame) -> DataFrame:
     return keys.groupBy("surface", "entity").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _raw_keys(pages: DataFrame, filter_titles: bool, only_flat: bool) -> DataFrame:
-    # exploding parsed links computes each once; a filter over parsing expressions would repeat them
-    links = raw_pages(pages, filter_titles).select(F.explode(F.transform(W.link_candidates(F.col("text")), W.parse_anchor)).alias("a"))
-    if only_flat:
-        links = links.where(W.counts_in_flat(F.col("a.page")))
-    return links.select(W.surface_key(F.col("a.page"), F.col("a.surface")).alias("surface"), W.entity_key(F.col("a.page")).alias("entity"))
+def _keys(links: DataFrame) -> DataFrame:
+    """(surface, entity) of raw links (c)."""
+    page, surface = W.anchor_page(F.col("c")), W.anchor_surface(F.col("c"))
+    return links.select(W.surface_key(page, surface).alias("surface"), W.entity_key(page).alias("entity"))
+
+
+def _raw_links(pages: DataFrame, filter_titles: bool) -> DataFrame:
+    # exploded in place: a named array would first be filtered by its size, which computes it twice
+    return raw_pages(pages, filter_titles).select(F.explode(W.link_candidates(F.col("text"))).alias("c"))
 
 
 def anchor_counts_flat(pages: DataFrame, filter_titles: bool = False) -> DataFrame:
-    """(surface, entity, n) over whole raw texts, without targets that begin with a colon or a talk namespace or hold ``<``."""
-    return _count(_raw_keys(pages, filter_titles, only_flat=True))
+    """(surface, entity, n) over whole raw texts, without links that begin with ``:`` or ``<`` or name a talk namespace anywhere."""
+    return _count(_keys(_raw_links(pages, filter_titles).where(W.counts_in_flat(F.col("c")))))
 
 
 def anchor_counts_raw(pages: DataFrame, filter_titles: bool = False) -> DataFrame:
     """(surface, entity, n) over whole raw texts, with all targets."""
-    return _count(_raw_keys(pages, filter_titles, only_flat=False))
+    return _count(_keys(_raw_links(pages, filter_titles)))
 
 
 def nest(counts: DataFrame) -> DataFrame:
@@ -45,8 +47,7 @@ def anchor_counts_nested(pages: DataFrame, filter_titles: bool = False) -> DataF
 
 def anchor_counts_page(pages: DataFrame) -> DataFrame:
     """(surface, entity, n) over articles' bodies, ahead of the last references heading."""
-    anchors = page_records(pages).select(F.explode("anchors").alias("a"))
-    return _count(anchors.select(W.surface_key(F.col("a.page"), F.col("a.surface")).alias("surface"), W.entity_key(F.col("a.page")).alias("entity")))
+    return _count(_keys(articles(pages).select(F.explode(W.link_candidates(W.before_references(F.col("text")))).alias("c"))))
 
 
 def anchor_counts_lines(anchors: DataFrame) -> DataFrame:

@@ -16,13 +16,21 @@ from tomeforge.operators.counts import commonness
 from tomeforge.operators.search import phrases_df, postings
 
 
-def mentions(texts: DataFrame, counts: DataFrame, most_words: int = 4) -> DataFrame:
-    """(text_id, pos, surface): n-grams of up to `most_words` words that are surface forms; `texts` is (text_id, text)."""
-    split = texts.select("text_id", words.indexed_words(F.col("text")).alias("_w"))
-    grams = None
-    for k in range(1, most_words + 1):
-        here = split.select("text_id", F.posexplode(words.grams(F.col("_w"), k)).alias("pos", "surface"))
-        grams = here if grams is None else grams.unionByName(here)
+def longest_form(counts: DataFrame) -> int:
+    """Words of the longest surface form, 1 at least."""
+    return counts.agg(F.max(F.size(words.indexed_words(F.col("surface"))))).first()[0] or 1
+
+
+def mentions(texts: DataFrame, counts: DataFrame, most_words: int | None = None) -> DataFrame:
+    """(text_id, pos, surface): n-grams that are surface forms; `texts` is (text_id, text).
+
+    They have up to `most_words` words, or as many as the longest form has. One scan gives all lengths.
+    """
+    found = F.col("_w")
+    lengths = range(1, (most_words or longest_form(counts)) + 1)
+    named = [F.transform(words.grams(found, k), lambda g, i: F.struct(i.alias("pos"), g.alias("surface"))) for k in lengths]
+    grams = texts.select("text_id", words.indexed_words(F.col("text")).alias("_w")).select("text_id", F.explode(F.concat(*named)).alias("g"))
+    grams = grams.select("text_id", F.col("g.pos").alias("pos"), F.col("g.surface").alias("surface"))
     return grams.join(counts.select("surface").distinct(), "surface", "left_semi").select("text_id", "pos", "surface")
 
 
@@ -53,23 +61,26 @@ def relatedness(index: DataFrame, pairs: DataFrame) -> DataFrame:
     return wanted.join(sized.select("a", "b", near.alias("relatedness")), ["a", "b"], "left").select("a", "b", F.coalesce("relatedness", F.lit(0.0)).alias("relatedness"))
 
 
-def link(texts: DataFrame, counts: DataFrame, index: DataFrame, least_probability: float = 0.0, least_commonness: float = 0.02, most_words: int = 4) -> DataFrame:
+def link(texts: DataFrame, counts: DataFrame, index: DataFrame, least_probability: float = 0.0, least_commonness: float = 0.02, most_words: int | None = None) -> DataFrame:
     """(text_id, pos, surface, entity, score): for each mention the entity with most votes, ties by commonness, then name.
 
-    The score is the mean of link probability and the votes' mean; a text's only mention has votes of 0.
+    Each other mention of the text votes for an entity by the mean, over its own senses, of relatedness
+    times commonness. The score is the mean of link probability and the votes' mean (to 9 decimals); a
+    text's only mention has votes of 0. What a surface form thinks of an entity doesn't depend on the
+    text, so it is worked out once for all texts in which the two meet, and votes are added up by
+    text and entity instead of by pairs of mentions.
     """
     likely = link_probability(counts, index).where(F.col("link_probability") >= least_probability)
-    senses = commonness(counts).where(F.col("commonness") >= least_commonness).withColumn("_title", F.replace("entity", F.lit(" "), F.lit("_")))
-    found = mentions(texts, counts, most_words).join(likely, "surface").join(senses.select("surface", "entity", "_title", "commonness"), "surface")
-    one, two = found.alias("x"), found.alias("y")
-    met = one.join(two, (F.col("x.text_id") == F.col("y.text_id")) & ((F.col("x.pos") != F.col("y.pos")) | (F.col("x.surface") != F.col("y.surface"))))
-    met = met.select(
-        F.col("x.text_id").alias("text_id"), F.col("x.pos").alias("pos"), F.col("x.surface").alias("surface"), F.col("x.entity").alias("entity"),
-        F.col("y.pos").alias("_p"), F.col("y.surface").alias("_s"), F.col("y.commonness").alias("_c"), F.col("x._title").alias("a"), F.col("y._title").alias("b"),
-    )
-    related = relatedness(index, met.select("a", "b"))
-    by_voter = met.join(related, ["a", "b"]).groupBy("text_id", "pos", "surface", "entity", "_p", "_s").agg(F.avg(F.col("relatedness") * F.col("_c")).alias("_v"))
-    votes = by_voter.groupBy("text_id", "pos", "surface", "entity").agg(F.avg("_v").alias("votes"))
-    scored = found.join(votes, ["text_id", "pos", "surface", "entity"], "left").withColumn("votes", F.coalesce("votes", F.lit(0.0)))
+    senses = commonness(counts).where(F.col("commonness") >= least_commonness).select("surface", "entity", F.replace("entity", F.lit(" "), F.lit("_")).alias("a"), "commonness")
+    found = mentions(texts, counts, most_words).join(likely, "surface").join(senses, "surface")
+    forms = found.select("text_id", "pos", "surface").distinct().groupBy("text_id", "surface").agg(F.count(F.lit(1)).alias("_k"))
+    size = forms.groupBy("text_id").agg(F.sum("_k").alias("_m"))
+    met = found.select("text_id", "a").distinct().join(forms, "text_id")
+    thought = met.select("a", "surface").distinct().join(senses.select("surface", F.col("a").alias("b"), F.col("commonness").alias("_c")), "surface")
+    votes = thought.join(relatedness(index, thought.select("a", "b")), ["a", "b"]).groupBy("a", "surface").agg(F.avg(F.col("relatedness") * F.col("_c")).alias("_v"))
+    total = met.join(votes, ["a", "surface"]).groupBy("text_id", "a").agg(F.sum(F.col("_k") * F.col("_v")).alias("_s"))
+    scored = found.join(total, ["text_id", "a"]).join(votes, ["a", "surface"]).join(size, "text_id")
+    mean = F.when(F.col("_m") > 1, F.round((F.col("_s") - F.col("_v")) / (F.col("_m") - 1), 9)).otherwise(0.0)
     best = F.row_number().over(Window.partitionBy("text_id", "pos", "surface").orderBy(F.desc("votes"), F.desc("commonness"), "entity"))
-    return scored.withColumn("_n", best).where("_n = 1").select("text_id", "pos", "surface", "entity", ((F.col("link_probability") + F.col("votes")) / 2).alias("score"))
+    ranked = scored.withColumn("votes", mean).withColumn("_n", best).where("_n = 1")
+    return ranked.select("text_id", "pos", "surface", "entity", ((F.col("link_probability") + F.col("votes")) / 2).alias("score"))

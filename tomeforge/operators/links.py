@@ -21,8 +21,19 @@ def index_documents(pages: DataFrame) -> DataFrame:
     return articles(pages).select("page_id", "title", "text")
 
 
+def page_edges(pages: DataFrame) -> DataFrame:
+    """(id, title, pos, page, surface) of every article: one row for each anchor, in order from 0."""
+    links = articles(pages).select(F.col("page_id").cast("string").alias("id"), "title", F.posexplode(W.link_candidates(W.before_references(F.col("text")))).alias("pos", "c"))
+    return links.select("id", "title", "pos", W.anchor_page(F.col("c")).alias("page"), W.anchor_surface(F.col("c")).alias("surface"))
+
+
+def page_category_rows(pages: DataFrame) -> DataFrame:
+    """(id, category) of every article: one row for each category."""
+    return articles(pages).select(F.col("page_id").cast("string").alias("id"), F.explode(W.page_categories(F.col("text"))).alias("category"))
+
+
 def edges(records: DataFrame) -> DataFrame:
-    """(id, title, pos, page, surface): one row for each anchor, in order from 0."""
+    """The rows of :func:`page_edges` from records that are stored already."""
     anchors = records.select("id", "title", F.posexplode("anchors").alias("pos", "a"))
     return anchors.select("id", "title", "pos", F.col("a.page").alias("page"), F.col("a.surface").alias("surface"))
 

@@ -1,11 +1,14 @@
 """Lookups in counts: exact, by prefix, by regular expression, and by likelihood.
 
 Tables written by :func:`tomeforge.operators.sinks.write_counts` are ordered by surface, so
-equality and prefixes skip row groups by their statistics. A regular expression reads all keys.
+equality and prefixes skip row groups by their statistics, and so does a regular expression that
+begins with plain characters.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +26,19 @@ def fetch_one(counts: DataFrame, surface: str) -> DataFrame:
     return counts.where(F.col("surface") == surface).select(W.pair_key(F.col("surface"), F.col("entity")).alias("key"), "n")
 
 
+def plain_beginning(pattern: str) -> str:
+    """Characters that every match of the pattern begins with; none where it has alternatives, groups or classes first."""
+    if "|" in pattern:
+        return ""
+    plain = re.match(r"[\w ]*", pattern).group()
+    return plain[:-1] if pattern[len(plain) : len(plain) + 1] in ("*", "?", "{", "+") else plain
+
+
 def by_regex(counts: DataFrame, pattern: str) -> DataFrame:
     """(entity, n) of all surfaces that match the whole pattern; of several with one entity the last surface counts."""
     key = W.pair_key(F.col("surface"), F.col("entity"))
+    if plain := plain_beginning(pattern):
+        counts = counts.where(F.col("surface").startswith(plain))
     return counts.where(key.rlike(f"(?s)^(?:{pattern})\t.*$")).groupBy("entity").agg(F.max_by("n", "surface").alias("n"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomeforge.functions import wikitext as W
+from tomeforge.operators.links import edges
 
 
 def pages_json(records: DataFrame) -> DataFrame:
@@ -41,8 +42,12 @@ def categories_jsonl(records: DataFrame, compat: bool = False) -> DataFrame:
 
 def anchors_tsv(records: DataFrame) -> DataFrame:
     """id, title, surface and page of each anchor; without a label the page stands for it."""
-    rows = records.select("id", "title", F.explode("anchors").alias("a"))
-    return rows.select(F.concat_ws("\t", "id", "title", F.coalesce("a.surface", "a.page"), "a.page").alias("value"))
+    return edges_tsv(edges(records))
+
+
+def edges_tsv(rows: DataFrame) -> DataFrame:
+    """The same lines from (id, title, page, surface)."""
+    return rows.select(F.concat_ws("\t", "id", "title", F.coalesce("surface", "page"), "page").alias("value"))
 
 
 def anchors_jsonl(records: DataFrame, compat: bool = False) -> DataFrame:
@@ -92,5 +97,31 @@ def write_counts(counts: DataFrame, path: str) -> None:
     counts.repartitionByRange("surface", "entity").sortWithinPartitions("surface", "entity").write.mode("overwrite").parquet(path)
 
 
-def write_index(index: DataFrame, path: str) -> None:
-    index.write.mode("overwrite").parquet(path)
+def write_index(index: DataFrame, path: str, more: bool = False) -> None:
+    """The index as Parquet; with `more`, its documents are added to those that are there, all or none of them."""
+    index.write.mode("append" if more else "overwrite").parquet(path)
+
+
+def write_dump(pages: DataFrame, path: str, compression: str = "bzip2") -> None:
+    """(page_id, title, is_redirect, redirect_to, text) as XML files that :func:`tomeforge.sources.dumps.read_dump` reads."""
+    redirect = F.when(F.col("is_redirect"), F.struct(F.coalesce("redirect_to", F.lit("")).alias("_title")))
+    text = F.when(F.length("text") > 0, F.struct(F.struct(F.lit("preserve").alias("_space"), F.col("text").alias("_VALUE")).alias("text")))
+    rows = pages.select("title", F.col("page_id").alias("id"), redirect.alias("redirect"), text.alias("revision"))
+    rows.write.mode("overwrite").format("xml").options(rowTag="page", rootTag="mediawiki", compression=compression).save(path)
+
+
+def dump_xml(pages: DataFrame) -> DataFrame:
+    """(page_id, title, value): a <page> element for each of (page_id, title, is_redirect, redirect_to, text); what is null or empty is left out."""
+
+    def escaped(value: Column) -> Column:
+        for raw, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\r", "&#13;")):
+            value = F.replace(value, F.lit(raw), F.lit(name))
+        return value
+
+    def element(head: str, value: Column, tail: str) -> Column:
+        return F.coalesce(F.concat(F.lit(head), value, F.lit(tail)), F.lit(""))
+
+    redirect = F.when(F.col("is_redirect"), F.coalesce(F.concat(F.lit('<redirect title="'), escaped(F.col("redirect_to")), F.lit('" />')), F.lit("<redirect />"))).otherwise("")
+    text = element('<revision><text xml:space="preserve">', F.nullif(escaped(F.col("text")), F.lit("")), "</text></revision>")
+    page = F.concat(F.lit("<page>"), element("<title>", escaped(F.col("title")), "</title>"), element("<id>", F.col("page_id").cast("string"), "</id>"), redirect, text, F.lit("</page>"))
+    return pages.select("page_id", "title", page.alias("value"))

@@ -10,8 +10,9 @@ WIKI = rf"""wiki AS (
     (CASE source {_CASES} ELSE '' END) || source || ' ' || doc_id AS title,
     coalesce(n_chars < {REDIRECT_CHARS}, false) AS is_redirect,
     CASE WHEN n_chars < {REDIRECT_CHARS} THEN source || ' ' || (doc_id + 1) END AS redirect_to,
-    coalesce(regexp_replace(regexp_replace(text, '([A-Z][a-z]+) ([a-z]+)', '[[\1#sec| \2 ]]', 'g'),
-      ' ([a-z]+)[.]', ' [[\1]] [[:File:\1]] [[File:\1.jpg|thumb|see [[\1]]]].', 'g')
+    coalesce(regexp_replace(regexp_replace(regexp_replace(text, '([A-Z][a-z]+) ([a-z]+)', '[[\1#sec| \2 ]]', 'g'),
+      ' ([a-z]+)[.]', ' [[\1]] [[:File:\1]] [[File:\1.jpg|thumb|see [[\1]]]].', 'g'),
+      ', ([a-z]+) ([a-z]+)', ', [[\1<b]] [[\2|see User talk:\1]] [[Talk File talk:\2]] [[ :\1]] [[<\2]] ', 'g')
       || '==References== [[Category:' || lang || '|k]] [[Category:' || source || ']]', '') AS text
   FROM documents)"""
 HTML = r"""wiki AS (
@@ -42,7 +43,7 @@ def anchors(name: str, table: str, text: str = "text") -> str:
     """CTEs down to `name` (page_id, i, page, surface): parsed links."""
     trimmed, ahead, behind = utrim("c"), utrim("left(c, strpos(c, '|') - 1)"), utrim("substr(c, strpos(c, '|') + 1)")
     return found(f"{name}_c", table, text) + f""",
-{name} AS (SELECT page_id, i,
+{name} AS (SELECT page_id, i, c,
   CASE WHEN strpos(c, '|') > 0 THEN split_part({ahead}, '#', 1)
        WHEN strpos(c, '#') > 0 THEN left({trimmed}, strpos(c, '#') - 1) ELSE {trimmed} END AS page,
   CASE WHEN strpos(c, '|') > 0 THEN nullif(regexp_replace({behind}, '^''+|''+$', '', 'g'), '') END AS surface
@@ -53,7 +54,7 @@ def counted(name: str, table: str, where: str = "true") -> str:
     return f"{name} AS (SELECT {utrim('lower(coalesce(surface, page))')} AS surface, {utrim('page')} AS entity, count(*) AS n FROM {table} WHERE {where} GROUP BY ALL)"
 
 
-_FLAT = "NOT starts_with(page, ':') AND NOT contains(page, '<') AND NOT starts_with(page, 'User talk:') AND NOT starts_with(page, 'File talk:')"
+_FLAT = "NOT starts_with(c, ':') AND NOT starts_with(c, '<') AND NOT contains(c, 'User talk:') AND NOT contains(c, 'File talk:')"
 FLAT = f"{WIKI}, {RAW}, {anchors('a', 'raw')}, {counted('counts', 'a', _FLAT)}"
 FLAT_HTML = f"{HTML}, {RAW}, {anchors('a', 'raw')}, {counted('counts', 'a', _FLAT)}"
 EVERY = f"{WIKI}, {RAW}, {anchors('a', 'raw')}, {counted('counts', 'a')}"
@@ -91,7 +92,22 @@ _TARGETS = "list_transform(anchors, lambda a: a.page)"
 _GROUPS = "(VALUES (0, 'The'), (0, 'the'), (1, 'of'), (1, 'and'), (1, 'the'), (2, 'nowhere to be found'))"
 _PHRASES = "(VALUES ('of the'), ('the'), ('la de'), ('In THE'), ('not in any text at all'), ('...'))"
 
+_DUMPED = "row_number() OVER (ORDER BY page_id) - 1"
+
 SQL: dict[str, str] = {
+    "dump_pages": _q(WIKI, "SELECT page_id, title, is_redirect, redirect_to, nullif(text, '') AS text FROM wiki"),
+    "dump_templates": _q(WIKI, "SELECT title, text AS page FROM wiki WHERE starts_with(title, 'Template:') AND text <> ''"),
+    "dump_streams": _q(WIKI, f"SELECT min(page_id) AS first_id, count(*) AS pages, count(*) AS lines FROM (SELECT page_id, ({_DUMPED}) // 100 AS stream FROM wiki) GROUP BY stream"),
+    "dump_one_stream": _q(WIKI, f"SELECT title FROM (SELECT title, ({_DUMPED}) // 100 AS stream FROM wiki) WHERE stream = 1"),
+    "page_indices_stored": _q(PARSED, "SELECT \"offset\", list(page_id ORDER BY page_id) AS page_ids FROM ixl GROUP BY ALL"),
+    "template_indices_stored": _q(PARSED, "SELECT \"offset\", list(page_id ORDER BY page_id) AS page_ids FROM ixl WHERE contains(value, 'Template:') GROUP BY ALL"),
+    "anchor_lines_file": _q(BODY, "SELECT coalesce(surface, page) AS surface, page AS entity, count(*) AS n FROM a GROUP BY ALL"),
+    "counts_store": _q(FLAT, "SELECT * FROM counts"),
+    "counts_store_lookup": _q(FLAT, "SELECT entity, n FROM counts WHERE surface = 'of'"),
+    "index_store_phrase": _q(INDEX, "SELECT count(*) FILTER (WHERE contains(content, ' of the ')) AS n FROM ix"),
+    "key_split": _q(FLAT, "SELECT * FROM counts"),
+    "form_is_empty": _q(FLAT, "SELECT t.text, count(surface) = 0 AS is_empty, coalesce(sum(n), 0)::DOUBLE AS wiki_occurrences FROM (VALUES ('of'), ('no such form')) t(text) LEFT JOIN counts ON surface = t.text GROUP BY t.text"),
+    "streamed_counts": _q(FLAT, "SELECT surface, entity, n::BIGINT AS n FROM counts"),
     "anchor_counts_flat": _q(FLAT, "SELECT * FROM counts"),
     "anchor_counts_flat_html": _q(FLAT_HTML, "SELECT * FROM counts"),
     "anchor_counts_nested": _q(EVERY, "SELECT surface, list(entity || '=' || n ORDER BY entity) AS entities FROM counts GROUP BY surface"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,12 @@ from pyspark.sql import functions as F
 from tomeforge.functions import wikitext as W
 from tomeforge.operators import counts as C
 from tomeforge.operators import linking, links, lookup, search, sinks
+from tomeforge.plans import runs
 from tomeforge.plans.oracle import SQL
-from tomeforge.sources import dumps, indices, tables
+from tomeforge.sources import dumps, indices, multistream, tables
+from tomeforge.sources.settings import Settings
+from tomeforge.sources.shared import new_path
+from tomeforge.streaming import counts as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 _found: dict[str, Query] = {}
@@ -79,7 +84,7 @@ def anchor_counts_page(spark, sf_dir):
 
 @_query
 def anchor_counts_lines(spark, sf_dir):
-    return C.anchor_counts_lines(tables.parse_anchor_lines(sinks.anchors_tsv(_records(spark, sf_dir))))
+    return C.anchor_counts_lines(tables.parse_anchor_lines(sinks.edges_tsv(links.page_edges(_wiki(spark, sf_dir)))))
 
 
 @_query
@@ -115,7 +120,7 @@ def wiki_matches_threshold(spark, sf_dir):
 
 @_query
 def mention_commonness(spark, sf_dir):
-    edges = links.edges(_records(spark, sf_dir))
+    edges = links.page_edges(_wiki(spark, sf_dir))
     mentions = edges.select(F.col("id").cast("bigint").alias("page_id"), F.col("pos").cast("bigint").alias("i"), W.surface_key(F.col("page"), F.col("surface")).alias("surface"), W.entity_key(F.col("page")).alias("entity"))
     return lookup.mention_commonness(mentions, _flat(spark, sf_dir))
 
@@ -198,13 +203,12 @@ def link_candidates(spark, sf_dir):
 
 @_query
 def page_anchors(spark, sf_dir):
-    return links.edges(_records(spark, sf_dir)).withColumn("pos", F.col("pos").cast("bigint"))
+    return links.page_edges(_wiki(spark, sf_dir)).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @_query
 def page_categories(spark, sf_dir):
-    named = _records(spark, sf_dir).select("id", F.explode("categories").alias("category"))
-    return named.withColumn("qualified", W.fully_qualified_category(F.col("category")))
+    return links.page_category_rows(_wiki(spark, sf_dir)).withColumn("qualified", W.fully_qualified_category(F.col("category")))
 
 
 @_query
@@ -234,13 +238,13 @@ for _name, _formatter in {
     "categories_tsv": sinks.categories_tsv,
     "categories_jsonl": sinks.categories_jsonl,
     "categories_jsonl_compat": lambda r: sinks.categories_jsonl(r, compat=True),
-    "anchors_tsv": sinks.anchors_tsv,
     "anchors_jsonl": sinks.anchors_jsonl,
     "anchors_jsonl_compat": lambda r: sinks.anchors_jsonl(r, compat=True),
     "outlinks": _outlinks,
 }.items():
     _rows(_formatter, _records, _name)
 for _name, _formatter in {
+    "anchors_tsv": lambda w: sinks.edges_tsv(links.page_edges(w)),
     "redirects": links.redirects,
     "redirects_tsv": lambda w: sinks.redirects_tsv(links.redirects(w)),
     "templates": links.templates,
@@ -312,9 +316,130 @@ def relatedness(spark, sf_dir):
 
 @_query
 def entity_links(spark, sf_dir):
-    """Mentions in the benchmark's texts, linked by the documents' counts: an extension without a result to match."""
+    """Mentions in all texts of the benchmark, linked by what is known from the documents: an extension without a result to match.
+
+    Counts and the index are stored first, as an application has them; every part of the plan reads them.
+    """
     texts = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("text_id"), "text")
-    return linking.link(texts, _flat(spark, sf_dir), _index(spark, sf_dir))
+    counts = _written(spark, "counts", lambda p: sinks.write_counts(_flat(spark, sf_dir), p))
+    index = _written(spark, "index", lambda p: sinks.write_index(_index(spark, sf_dir), p))
+    return linking.link(texts, spark.read.parquet(counts), spark.read.parquet(index))
+
+
+def _written(spark: SparkSession, name: str, write: Callable[[str], object]) -> str:
+    write(path := new_path(spark, name))
+    return path
+
+
+@_query
+def dump_pages(spark, sf_dir):
+    """Pages written as a compressed XML dump and read from it."""
+    path = _written(spark, "dump.xml", lambda p: sinks.write_dump(_wiki(spark, sf_dir), p))
+    return dumps.pages_of(dumps.read_dump(spark, path))
+
+
+def _streams(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """(path of a multistream dump, its parsed index) of the document pages, 100 to a stream."""
+    wiki = _wiki(spark, sf_dir)
+    dump, index = new_path(spark, "streams"), new_path(spark, "index")
+    local = dump.removeprefix("file:")
+    os.makedirs(os.path.dirname(local), exist_ok=True)
+    sinks.write_lines(multistream.write_streams(sinks.dump_xml(wiki), local), index, compression="bzip2")
+    return local, indices.read_index(spark, index)
+
+
+@_query
+def dump_templates(spark, sf_dir):
+    """Templates from the streams that hold any, found by the index and opened by their offsets."""
+    path, index = _streams(spark, sf_dir)
+    chosen = index.where(W.is_template_title(F.col("title")))
+    return links.templates(multistream.read_pages_at(path, chosen))
+
+
+@_query
+def dump_streams(spark, sf_dir):
+    """(first_id, pages, lines) of every stream of a dump: its pages by the index, and its lines that begin one."""
+    path, index = _streams(spark, sf_dir)
+    lines = multistream.lines_of(multistream.read_streams_at(path, index)).groupBy("offset").agg(F.count_if(F.col("line").startswith("<page>")).alias("lines"))
+    first = index.groupBy("offset").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("pages"))
+    return lines.join(first, "offset").select("first_id", "pages", "lines")
+
+
+@_query
+def dump_one_stream(spark, sf_dir):
+    """Titles of the stream with the second smallest offset."""
+    path, index = _streams(spark, sf_dir)
+    lines = multistream.lines_of(multistream.one_stream(spark, path, index, 1))
+    titles = lines.select(F.regexp_extract("line", "<title>(.*?)</title>", 1).alias("title"))
+    return titles.where("title <> ''")
+
+
+@_query
+def page_indices_stored(spark, sf_dir):
+    """The index by offset, built by the first call and loaded by the second."""
+    lines = _written(spark, "lines", lambda p: sinks.write_lines(_lines(spark, sf_dir), p))
+    settings = Settings(dump="", index=lines, page_indices=new_path(spark, "pages"), template_indices=new_path(spark, "templates"))
+    runs.page_indices(spark, settings)
+    return runs.page_indices(spark, settings)
+
+
+@_query
+def template_indices_stored(spark, sf_dir):
+    lines = _written(spark, "lines", lambda p: sinks.write_lines(_lines(spark, sf_dir), p))
+    settings = Settings(dump="", index=lines, page_indices=new_path(spark, "pages"), template_indices=new_path(spark, "templates"))
+    runs.template_indices(spark, settings)
+    return runs.template_indices(spark, settings)
+
+
+@_query
+def anchor_lines_file(spark, sf_dir):
+    """Counts of anchor lines that are written and read again."""
+    path = _written(spark, "anchors.tsv", lambda p: sinks.write_lines(links.page_edges(_wiki(spark, sf_dir)), p, sinks.edges_tsv))
+    return C.anchor_counts_lines(tables.read_anchor_lines(spark, path))
+
+
+@_query
+def counts_store(spark, sf_dir):
+    """All counts from the ordered store."""
+    path = _written(spark, "counts", lambda p: sinks.write_counts(_flat(spark, sf_dir), p))
+    return spark.read.parquet(path)
+
+
+@_query
+def counts_store_lookup(spark, sf_dir):
+    """One surface form from the ordered store, by a pushed filter."""
+    path = _written(spark, "counts", lambda p: sinks.write_counts(_flat(spark, sf_dir), p))
+    return lookup.entities_for(spark.read.parquet(path), "of")
+
+
+@_query
+def index_store_phrase(spark, sf_dir):
+    """A phrase asked of a stored index, to which the second half of its documents is added later."""
+    index, path = _index(spark, sf_dir), new_path(spark, "index")
+    sinks.write_index(index.where("id % 2 = 0"), path)
+    sinks.write_index(index.where("id % 2 <> 0 or id is null"), path, more=True)
+    return search.phrase_df(spark.read.parquet(path), "of the")
+
+
+@_query
+def key_split(spark, sf_dir):
+    keys = sinks.key_counts(_flat(spark, sf_dir))
+    return keys.select(W.key_surface(F.col("key")).alias("surface"), W.key_entity(F.col("key")).alias("entity"), "n")
+
+
+@_query
+def form_is_empty(spark, sf_dir):
+    forms = [lookup.surface_form(lookup.entities_for(_flat(spark, sf_dir), t), t) for t in ("of", "no such form")]
+    return forms[0].unionByName(forms[1]).select("text", C.is_empty(F.col("anchors")).alias("is_empty"), "wiki_occurrences")
+
+
+@_query
+def streamed_counts(spark, sf_dir):
+    """Counts of page files that arrive as a stream, summed over its batches."""
+    pages = _written(spark, "arriving", lambda p: _wiki(spark, sf_dir).write.parquet(p))
+    target = new_path(spark, "streamed")
+    streaming.count_stream(streaming.page_stream(spark, pages), target, new_path(spark, "progress")).awaitTermination()
+    return spark.read.parquet(target).groupBy("surface", "entity").agg(F.sum("n").alias("n"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

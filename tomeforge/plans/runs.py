@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tomeforge.operators import counts, links, search, sinks
@@ -38,17 +40,48 @@ def build_counts(spark: SparkSession, settings: Settings) -> None:
 
         sinks.write_lines(links.templates(read_pages_at(settings.dump, chosen)), settings.templates, sinks.templates_text)
     if not exists(spark, settings.anchor_counts):
-        pages = dumps.pages_of(dumps.read_dump(spark, settings.dump))
-        sinks.write_counts(counts.anchor_counts_flat(pages), settings.anchor_counts)
+        sinks.write_counts(counts.anchor_counts_flat(_pages(spark, settings)), settings.anchor_counts)
+
+
+def _pages(spark: SparkSession, settings: Settings) -> DataFrame:
+    return dumps.pages_of(dumps.read_dump(spark, settings.dump))
 
 
 def build_index(spark: SparkSession, settings: Settings) -> None:
     """The search index of all articles; a rerun replaces it whole."""
-    pages = dumps.pages_of(dumps.read_dump(spark, settings.dump))
-    sinks.write_index(search.build_index(pages), settings.search_index)
+    sinks.write_index(search.build_index(_pages(spark, settings)), settings.search_index)
+
+
+def extend_index(spark: SparkSession, settings: Settings) -> int:
+    """Add the articles whose ids the index doesn't have yet, and say how many; it is built where there is none."""
+    found = search.build_index(_pages(spark, settings))
+    if not exists(spark, settings.search_index):
+        sinks.write_index(found, settings.search_index)
+        return spark.read.parquet(settings.search_index).count()
+    before = spark.read.parquet(settings.search_index)
+    had = before.count()
+    sinks.write_index(found.join(before.select("id"), "id", "left_anti"), settings.search_index, more=True)
+    return spark.read.parquet(settings.search_index).count() - had
 
 
 def write_anchors(spark: SparkSession, settings: Settings) -> None:
     """One line for each anchor of each article."""
-    pages = dumps.pages_of(dumps.read_dump(spark, settings.dump))
-    sinks.write_lines(links.page_records(pages), settings.anchors, sinks.anchors_tsv)
+    sinks.write_lines(links.page_edges(_pages(spark, settings)), settings.anchors, sinks.edges_tsv)
+
+
+#: What :func:`write_rows` can write: lines from the pages of a dump.
+ROWS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "pages": lambda pages: sinks.pages_json(links.page_records(pages)),
+    "categories": lambda pages: sinks.categories_tsv(links.page_records(pages)),
+    "categories-json": lambda pages: sinks.categories_jsonl(links.page_records(pages)),
+    "anchors-json": lambda pages: sinks.anchors_jsonl(links.page_records(pages)),
+    "redirects": lambda pages: sinks.redirects_tsv(links.redirects(pages)),
+}
+
+
+def write_rows(spark: SparkSession, settings: Settings, name: str, path: str) -> None:
+    """Lines of one kind of `ROWS`, or ``titles`` from the dump's index, as text."""
+    if name == "titles":
+        sinks.write_lines(indices.titles_of(spark.read.text(settings.index)), path, sinks.title_ids_tsv)
+    else:
+        sinks.write_lines(_pages(spark, settings), path, ROWS[name])

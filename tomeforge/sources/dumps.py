@@ -27,6 +27,14 @@ def read_dump(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return reader.schema(PAGE).load(path)
 
 
+def read_history(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The pages of a dump of all revisions, a row for each revision, of the shape of :func:`read_dump`."""
+    reader = spark.read.format("xml").options(rowTag="page", ignoreSurroundingSpaces="false", mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
+    several = PAGE.replace("revision struct<", "revision array<struct<").replace("text:struct<_VALUE:string>>", "text:struct<_VALUE:string>>>")
+    found = reader.schema(several).load(path)
+    return found.select("title", "ns", "id", "redirect", F.explode_outer("revision").alias("revision"), "_corrupt_record")
+
+
 def pages_of(dump: DataFrame, compat_ids: bool = False) -> DataFrame:
     """(page_id, title, is_redirect, redirect_to, text) of parsed pages.
 

@@ -47,8 +47,11 @@ def _text(node: ET.Element | None) -> str | None:
     return None if node is None else node.text
 
 
-def pages_in(fragment: bytes) -> Iterator[tuple]:
-    """(page_id, title, is_redirect, redirect_to, text) of the pages of a fragment; it ends early where the XML breaks."""
+def pages_in(fragment: bytes, compat_ids: bool = False) -> Iterator[tuple]:
+    """(page_id, title, is_redirect, redirect_to, text) of the pages of a fragment; it ends early where the XML breaks.
+
+    `compat_ids` takes the last id ahead of the text, the contributor's or the revision's, as the page's.
+    """
     parser = ET.XMLPullParser(["start", "end"])
     start = fragment.find(b"<page")
     if start < 0:
@@ -66,6 +69,8 @@ def pages_in(fragment: bytes) -> Iterator[tuple]:
             return
         if kind == "end" and node.tag == "page":
             redirect, page_id = node.find("redirect"), _text(node.find("id"))
+            if compat_ids:
+                page_id = _text(node.find("revision/contributor/id")) or _text(node.find("revision/id")) or page_id
             text = _text(node.find("revision/text"))
             yield (
                 int(page_id) if page_id and page_id.strip().isdigit() else None,
@@ -81,10 +86,11 @@ def _spread(offsets: DataFrame) -> DataFrame:
     return offsets.select(F.col("offset").cast("bigint").alias("offset")).where("offset is not null").distinct().repartitionByRange("offset").sortWithinPartitions("offset")
 
 
-def read_pages_at(path: str, offsets: DataFrame) -> DataFrame:
+def read_pages_at(path: str, offsets: DataFrame, compat_ids: bool = False) -> DataFrame:
     """(offset, page_id, title, is_redirect, redirect_to, text) of the pages in the streams at `offsets`.
 
-    `offsets` has a column of that name; null and repeated ones count for nothing.
+    `offsets` has a column `offset`; null and repeated ones count for nothing. `compat_ids` is that of
+    :func:`tomeforge.sources.dumps.pages_of`.
     """
 
     def run(batches):
@@ -92,7 +98,7 @@ def read_pages_at(path: str, offsets: DataFrame) -> DataFrame:
 
         for batch in batches:
             for offset in batch.column("offset").to_pylist():
-                rows = [(offset, *page) for page in pages_in(read_stream(path, offset))]
+                rows = [(offset, *page) for page in pages_in(read_stream(path, offset), compat_ids)]
                 columns = list(zip(*rows)) if rows else [[]] * 6
                 types = [pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["offset", "page_id", "title", "is_redirect", "redirect_to", "text"])
@@ -129,6 +135,33 @@ def lines_of(streams: DataFrame) -> DataFrame:
     return split.where("not (line_no = _last and line = '')").drop("_last")
 
 
+def write_streams(pages: DataFrame, path: str, size: int = 100) -> DataFrame:
+    """Write one multistream dump of `size` pages a stream, by page id; its index lines (value) come back.
+
+    `pages` has `page_id`, `title` and, as from :func:`tomeforge.operators.sinks.dump_xml`, `value`. A
+    dump is one file, so one task writes it, a stream at a time, and moves it into place when it is whole.
+    """
+
+    def run(batches):
+        import os
+
+        import pyarrow as pa
+
+        begun, offset = f"{path}.{os.getpid()}", 0
+        with open(begun, "wb") as out:
+            for batch in batches:
+                for low in range(0, batch.num_rows, size):
+                    part = batch.slice(low, size)
+                    packed = bz2.compress("\n".join([*part.column("value").to_pylist(), ""]).encode())
+                    out.write(packed)
+                    lines = [f"{offset}:{i}:{t or ''}" for i, t in zip(part.column("page_id").to_pylist(), part.column("title").to_pylist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+                    offset += len(packed)
+        os.replace(begun, path)
+
+    return pages.select("page_id", "title", "value").orderBy("page_id").coalesce(1).mapInArrow(run, "value string")
+
+
 def newline_chunks(size: int, target: int, is_newline_at) -> list[tuple[int, int]]:
     """Byte ranges of about `target` bytes that end behind a newline; all in one if the size is at most twice that.
 

@@ -43,7 +43,8 @@ def document_pages(documents: DataFrame) -> DataFrame:
     """(page_id, title, is_redirect, redirect_to, text) from documents, marked up as wiki pages.
 
     A capitalised word and the next become a link with a fragment and a label, a sentence's last
-    word three links one of which is nested, and the language and source categories behind a
+    word three links one of which is nested, the words behind a comma five that a flat counter
+    takes or leaves for what is written in them, and the language and source categories behind a
     references heading. Sources stand for namespaces. A document without text, language or source
     is a page with an empty text: known not to be null, so no filter computes the markup a second time.
     """
@@ -52,6 +53,7 @@ def document_pages(documents: DataFrame) -> DataFrame:
         prefix = F.when(F.col("source") == source, F.lit(name)).otherwise(prefix)
     body = F.regexp_replace("text", "([A-Z][a-z]+) ([a-z]+)", "[[$1#sec| $2 ]]")
     body = F.regexp_replace(body, " ([a-z]+)[.]", " [[$1]] [[:File:$1]] [[File:$1.jpg|thumb|see [[$1]]]].")
+    body = F.regexp_replace(body, ", ([a-z]+) ([a-z]+)", ", [[$1<b]] [[$2|see User talk:$1]] [[Talk File talk:$2]] [[ :$1]] [[<$2]] ")
     short = F.col("n_chars") < REDIRECT_CHARS
     return documents.select(
         F.col("doc_id").alias("page_id"),
