@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -340,12 +339,10 @@ def dump_pages(spark, sf_dir):
 
 def _streams(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
     """(path of a multistream dump, its parsed index) of the document pages, 100 to a stream."""
-    wiki = _wiki(spark, sf_dir)
     dump, index = new_path(spark, "streams"), new_path(spark, "index")
-    local = dump.removeprefix("file:")
-    os.makedirs(os.path.dirname(local), exist_ok=True)
-    sinks.write_lines(multistream.write_streams(sinks.dump_xml(wiki), local), index, compression="bzip2")
-    return local, indices.read_index(spark, index)
+    dump = dump.removeprefix("file:") if dump.startswith("file:") else dump
+    sinks.write_lines(multistream.write_streams(sinks.dump_xml(_wiki(spark, sf_dir)), dump), index, compression="bzip2")
+    return dump, indices.read_index(spark, index)
 
 
 @_query

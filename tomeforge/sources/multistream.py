@@ -8,7 +8,9 @@ the file is read. Paths without a scheme must be visible to every executor; thos
 from __future__ import annotations
 
 import bz2
+import os
 import sys
+import uuid
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
@@ -30,6 +32,26 @@ def _open(path: str):
     return open(path, "rb")
 
 
+def _write(path: str, parts: Iterator[bytes]) -> Iterator[int]:
+    """Write the parts to one file, which has its name when it is whole; gives each part's length once it is written."""
+    begun = f"{path}.{uuid.uuid4().hex}"
+    if "://" in path:
+        from pyarrow import fs
+
+        system, inner = fs.FileSystem.from_uri(path)
+        begun = f"{inner}.{uuid.uuid4().hex}"
+        system.create_dir(inner.rpartition("/")[0], recursive=True)
+        out, move = system.open_output_stream(begun), lambda: system.move(begun, inner)
+    else:
+        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+        out, move = open(begun, "wb"), lambda: os.replace(begun, path)
+    with out:
+        for part in parts:
+            out.write(part)
+            yield len(part)
+    move()
+
+
 def read_stream(path: str, offset: int) -> bytes:
     """The one compressed stream that begins at `offset`, decompressed."""
     machine, out = bz2.BZ2Decompressor(), []
@@ -131,8 +153,9 @@ def one_stream(spark: SparkSession, path: str, index: DataFrame, n: int) -> Data
 
 def lines_of(streams: DataFrame) -> DataFrame:
     """(offset, line_no, line) of stream contents, without line ends."""
-    split = streams.select("offset", F.posexplode(F.split("content", "\r?\n")).alias("line_no", "line"), (F.size(F.split("content", "\r?\n")) - 1).alias("_last"))
-    return split.where("not (line_no = _last and line = '')").drop("_last")
+    # without the last line's end no empty line follows it; the array is exploded in place and not kept
+    whole = streams.where("content <> ''").select("offset", F.regexp_replace("content", r"\r?\n\z", "").alias("content"))
+    return whole.select("offset", F.posexplode(F.split("content", "\r?\n")).alias("line_no", "line"))
 
 
 def write_streams(pages: DataFrame, path: str, size: int = 100) -> DataFrame:
@@ -143,21 +166,21 @@ def write_streams(pages: DataFrame, path: str, size: int = 100) -> DataFrame:
     """
 
     def run(batches):
-        import os
-
         import pyarrow as pa
 
-        begun, offset = f"{path}.{os.getpid()}", 0
-        with open(begun, "wb") as out:
+        lines: list[list[str]] = []
+
+        def packed() -> Iterator[bytes]:
             for batch in batches:
                 for low in range(0, batch.num_rows, size):
                     part = batch.slice(low, size)
-                    packed = bz2.compress("\n".join([*part.column("value").to_pylist(), ""]).encode())
-                    out.write(packed)
-                    lines = [f"{offset}:{i}:{t or ''}" for i, t in zip(part.column("page_id").to_pylist(), part.column("title").to_pylist())]
-                    yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
-                    offset += len(packed)
-        os.replace(begun, path)
+                    lines.append([f"{i}:{t or ''}" for i, t in zip(part.column("page_id").to_pylist(), part.column("title").to_pylist())])
+                    yield bz2.compress("\n".join([*part.column("value").to_pylist(), ""]).encode())
+
+        offset = 0
+        for length in _write(path, packed()):
+            yield pa.RecordBatch.from_arrays([pa.array([f"{offset}:{x}" for x in lines.pop()], pa.string())], names=["value"])
+            offset += length
 
     return pages.select("page_id", "title", "value").orderBy("page_id").coalesce(1).mapInArrow(run, "value string")
 
