@@ -11,28 +11,48 @@ from tomeforge.llm.common import written
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the multiple-instance model, trained on the labels, doesn't reject."""
+    """Documents that the multiple-instance model, trained on the labels, doesn't reject.
+
+    Null and empty texts stay, whatever their id; repeated rows go or stay together. Without labels of
+    both classes, or without documents, nothing is rejected.
+    """
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.drop_toxic(docs, model)
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id."""
+    """One document of each class of near copies, the one with the smallest id.
+
+    Rows with a null id and texts without words stay; rows that repeat an id go or stay together. No
+    documents give none.
+    """
     return ngram_join.drop_near_copies(docs)
 
 
 def leaks_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark.
+
+    Null and empty texts, and those with a null id, hold none and stay; repeated rows go or stay together;
+    an empty benchmark or no documents are no special case.
+    """
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def private_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind and n_chars set anew where a text changed."""
+    """All documents, with personal data replaced by its kind and n_chars set anew where a text changed.
+
+    Null and empty texts stay as they are; overlaps go to the better scored span, then the longer, then
+    the earlier; repeated rows change alike; no documents give none.
+    """
     return pii.redact(docs, length_col="n_chars")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every piece of every document in sequences of fixed length."""
+    """The ids of every piece of every document and their place in sequences of 2,048 tokens.
+
+    Null and empty texts are an end mark alone; null ids are kept; repeated rows are packed as often as
+    they occur; ties in length go by id, piece and row; no documents give none.
+    """
     return packing.pack(docs)
 
 

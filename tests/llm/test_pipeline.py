@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from tests.compare import duck_rows, spark_rows
-from tests.llm.data import DOCS, corpus
+from tests.llm.data import DOCS, corpus, with_extra
 from tests.llm.test_decontamination import brute as leaks
 from tests.llm.test_ngram_join import brute as pairs
 from tests.llm.test_ngram_join import roots
@@ -70,6 +70,18 @@ def test_stages_against_brute_force(spark, tables):
     assert spark_rows(corpus_pipeline.run(spark, folder)) == spark_rows(states[4][1])
 
 
+def test_columns_with_clashing_names_go_through_all_stages(spark, tables):
+    folder = tables[0]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    more = with_extra(docs, "id", "doc", "kind", "gone", "node", "root", "class_id", "n_links", "t", "y", "item", "score", "bucket", "row", "piece", "_id", "tokens")
+    for (_, stage), last in zip(corpus_pipeline.STAGES, [False] * 4 + [True]):
+        plain, wide = stage(spark, docs, folder), stage(spark, more, folder)
+        if last:
+            assert spark_rows(plain) == spark_rows(wide)
+        else:
+            assert wide.columns == more.columns and spark_rows(plain) == spark_rows(wide.select(docs.columns))
+
+
 def test_stages_of_nothing(spark, tables):
     folder = tables[0]
     for _, stage in corpus_pipeline.STAGES:
