@@ -99,6 +99,21 @@ def test_classes_against_all_pairs(spark):
     assert sorted(map(tuple, found.collect())) == sorted(classes(rows)) and found.columns == ["doc_id", "class_id", "n_links", "n_copies"]
 
 
+@pytest.mark.parametrize("least, share", [(2, 0.0), (8, 0.05)])
+def test_common_ngrams_change_nothing(spark, monkeypatch, least, share):
+    monkeypatch.setattr(N, "COMMON_LEAST", least)
+    monkeypatch.setattr(N, "COMMON_SHARE", share)
+    rng = random.Random(31)
+    line = words(rng, 25)
+    rows = [(i, f"{t} {line}" if i % 3 else t, *rest) for i, t, *rest in corpus(50)]
+    rows += [(500 + k, f"{line} {rng.randrange(5)}", "en", "s", 0) for k in range(12)] + [(600 + k, line, "en", "s", 0) for k in range(5)]
+    docs = frame(spark, rows).repartition(3)
+    slots = N._common_slots(docs.selectExpr("doc_id as id", "text"), 3)
+    assert 20 < slots.sum() < 5000
+    assert pairs_of(N.similar_pairs(docs)) == brute(rows, 0.5)
+    assert sorted(map(tuple, N.similar_classes(docs).collect())) == sorted(classes(rows))
+
+
 def test_one_id_with_several_texts(spark):
     rng = random.Random(4)
     one, two = words(rng, 60), words(rng, 60)

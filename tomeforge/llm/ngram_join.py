@@ -6,7 +6,10 @@ The method is an exact prefix-filtering set-similarity join:
    64-bit signature, which stands for them from here on; who has it is kept aside.
 2. Sets are shuffled by n-gram, packed by block. An n-gram's document frequency gives the global
    order, rarest first. N-grams of one set alone come first in their document's order and can't
-   match anything, so only their number is kept; the others go back to their document.
+   match anything, so only their number is kept; the others go back to their document. What more
+   than a 1,024th of all documents have is known from a pass before; any order keeps the method
+   exact, so those n-grams come last by their hash and stay with their document: nothing common
+   is gathered in one place.
 3. A document of n grams probes with its first n - ceil(t n) + 1; often these are all unique, and
    it is done. The rest are joined on prefix n-grams, with length and positional filters, and a
    suffix filter that bounds the overlap by the smaller count in each of eight hash classes. A pair
@@ -23,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +38,8 @@ CLASSES = 8
 BUCKET_BYTES = 6 << 20
 #: Preceding n-grams of its document that a probing one brings along.
 WITNESSES = 2
+#: Stands for the frequency of common n-grams: behind all others in the order.
+LAST = 1 << 40
 
 
 def least_overlap(a, b, threshold: float):
@@ -45,8 +51,8 @@ def prefix_length(size, threshold: float):
     return size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
 
 
-def gram_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, 48-bit n-gram), distinct and sorted by both. A text of fewer than n words has one gram, all of it."""
+def _gram_keys(texts: pa.Array, n: int) -> np.ndarray:
+    """Text number << 48 | 48-bit n-gram. A text of fewer than n words has one gram, all of it."""
     doc, code = normal_words(texts)
     counts = np.bincount(doc, minlength=len(texts)) if len(doc) else np.zeros(len(texts), np.int64)
     starts = np.concatenate([[0], np.cumsum(counts)])[:-1]
@@ -60,7 +66,12 @@ def gram_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
         for j in range(k):
             h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + code[at + j])
         keys.append((doc[at].astype(np.uint64) << np.uint64(HASH_BITS)) | (h >> np.uint64(64 - HASH_BITS)))
-    key = np.sort(np.concatenate(keys))
+    return np.concatenate(keys)
+
+
+def gram_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, 48-bit n-gram), distinct and sorted by both."""
+    key = np.sort(_gram_keys(texts, n))
     if len(key):
         key = key[np.concatenate([[True], key[1:] != key[:-1]])]
     return (key >> np.uint64(HASH_BITS)).astype(np.int64), key & np.uint64((1 << HASH_BITS) - 1)
@@ -100,8 +111,50 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], names=_COLUMNS)
 
 
-def _scan(n: int, buckets: int):
-    """Texts to packed rows: kind 0 holds (signature, id, size) of documents, kind 1 n-grams of signatures, kind 2 ids without words."""
+#: N-grams are common where this share of the documents, and so many at least, have one of their slot.
+COMMON_SHARE, COMMON_LEAST, SLOT_BITS = 1 / 1024, 256, 22
+
+
+def _slot(gram: np.ndarray) -> np.ndarray:
+    return (gram >> np.uint64(HASH_BITS - SLOT_BITS)).astype(np.int64)
+
+
+def _common_slots(source: DataFrame, n: int) -> np.ndarray:
+    """Whether each of 2^22 slots of n-gram hashes is common over all documents.
+
+    A task sends the slots that reach half the share in its own documents; a slot that has the share
+    over all does so in some. At most 2,048 slots for each n-gram of an average document are sent.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, docs = np.zeros(1 << SLOT_BITS, np.int32), 0
+        for batch in batches:
+            docs += batch.num_rows
+            for block in blocks(batch, "text", 2 << 20):
+                np.add.at(table, _slot(_gram_keys(as_text(block.column("text")), n) & np.uint64((1 << HASH_BITS) - 1)), np.int32(1))
+        slots = np.flatnonzero(table >= max(1.0, docs * COMMON_SHARE / 2))
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(slots, -1)), pa.array(np.append(table[slots], docs).astype(np.int64))], names=["slot", "n"])
+
+    found = source.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(f"slot < 0 or n >= {COMMON_LEAST}").collect()
+    docs = sum(r["n"] for r in found if r["slot"] < 0)
+    common = np.zeros(1 << SLOT_BITS, bool)
+    common[[r["slot"] for r in found if r["slot"] >= 0 and r["n"] >= docs * COMMON_SHARE]] = True
+    return common
+
+
+def _by_signature(signature: np.ndarray, owner: np.ndarray, gram: np.ndarray, df: np.ndarray, kind: int, buckets: int) -> Iterator[tuple]:
+    """A row for each bucket of signatures of (owner's signature, n-gram, its frequency)."""
+    home = (signature[owner] % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    owner, gram, df, home = owner[order], gram[order], df[order], home[order]
+    for at, many in zip(*_runs(home)):
+        part = slice(at, at + many)
+        names, index = np.unique(signature[owner[part]], return_inverse=True)
+        yield int(home[at]), kind, _sorted_planes(names), _planes(df[part]), b"", _planes(index.astype(np.uint64)), _sorted_planes(gram[part])
+
+
+def _scan(n: int, buckets: int, common: Broadcast):
+    """Texts to packed rows: kind 0 holds (signature, id, size) of documents, kind 1 n-grams of signatures, kind 2 ids without words, kind 3 common n-grams for the bucket of their signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,6 +184,9 @@ def _scan(n: int, buckets: int):
                 owner, gram = owner[keep], gram[keep]
                 order = np.argsort(gram)
                 owner, gram = owner[order], gram[order]
+                many = common.value[_slot(gram)]
+                rows.extend(_by_signature(signature, owner[many], gram[many], np.full(many.sum(), LAST, np.uint64), 3, buckets))
+                owner, gram = owner[~many], gram[~many]
                 home = ((gram >> np.uint64(HASH_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
                 for at, many in zip(*_runs(home)):
                     here = owner[at : at + many]
@@ -172,13 +228,7 @@ def _frequencies(buckets: int):
             first, many = _runs(gram)
             df = np.repeat(many, many)
             gram, owner, df = gram[df > 1], owner[df > 1], df[df > 1]
-            home = (owner % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(home, kind="stable")
-            gram, owner, df, home = gram[order], owner[order], df[order], home[order]
-            for at, many in zip(*_runs(home)):
-                cut_ = slice(at, at + many)
-                names, index = np.unique(owner[cut_], return_inverse=True)
-                passed.append((int(home[at]), 1, _sorted_planes(names), _planes(df[cut_].astype(np.uint64)), b"", _planes(index.astype(np.uint64)), _sorted_planes(gram[cut_])))
+            passed.extend(_by_signature(owner, np.arange(len(owner)), gram, df.astype(np.uint64), 1, buckets))
         return pa.Table.from_batches([_batch(passed)])
 
     return run
@@ -190,8 +240,8 @@ _SETS = "kind int, doc long, id long, size long, probes int, ranks binary, grams
 def _sets(threshold: float):
     """One bucket of signatures: which ids have which (kind 0), sets that may have partners (kind 1), ids without one (kind 2).
 
-    `doc` is the signature. `ranks` and `grams` are document frequencies and n-grams that others
-    share, in global order and by byte planes; the first `probes` of them fall into the prefix.
+    `doc` is the signature. `grams` are the n-grams that others
+    share, in global order and by byte planes; the first `probes` fall into the prefix, and `ranks` has their frequencies.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -218,6 +268,8 @@ def _sets(threshold: float):
             who, df, gram = (np.concatenate(x) for x in zip(*shared))
             order = np.lexsort((gram, df, who))
             who, df, gram = who[order], df[order], gram[order]
+            fresh = np.concatenate([[True], (gram[1:] != gram[:-1]) | (who[1:] != who[:-1])])  # common ones of copies in several blocks
+            who, df, gram = who[fresh], df[fresh], gram[fresh]
             at = np.searchsorted(owner[first], who[_runs(who)[0]])
             for k, (s, m) in zip(at, zip(*_runs(who))):
                 n = int(size[first[k]])
@@ -225,7 +277,7 @@ def _sets(threshold: float):
                 if probes > 0:
                     g = gram[s : s + m]
                     classes = np.bincount((g % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES).astype("<u4")
-                    out.append((int(owner[first[k]].view(np.int64)), n, min(probes, m), _planes(df[s : s + m]), _planes(g), classes.tobytes()))
+                    out.append((int(owner[first[k]].view(np.int64)), n, min(probes, m), _planes(df[s : s + min(probes, m)]), _planes(g), classes.tobytes()))
         bare = np.unique(np.concatenate(bare))
         ids, owner = np.concatenate([ids, bare]), np.concatenate([owner.view(np.int64), np.zeros(len(bare), np.int64)])
         kind = np.repeat(np.array([0, 2], np.int32), [len(ids) - len(bare), len(bare)])
@@ -415,7 +467,8 @@ def _similar_sets(docs: DataFrame, threshold: float, n: int, id_col: str, text_c
         raise ValueError(f"{id_col} must be an integer column")
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     buckets = buckets_for(text_bytes(source, "text"), BUCKET_BYTES)
-    packed = source.mapInArrow(_scan(n, buckets), _PACKED)
+    common = docs.sparkSession.sparkContext.broadcast(_common_slots(source, n))  # 4 MB whatever the corpus holds
+    packed = source.mapInArrow(_scan(n, buckets, common), _PACKED)
     counted = packed.groupBy("bucket").applyInArrow(_frequencies(buckets), _PACKED)
     found = cut(counted.groupBy("bucket").applyInArrow(_sets(threshold), _SETS))
     sets = found.where("kind = 1").select("doc", "size", "probes", "ranks", "grams", "classes")
@@ -495,7 +548,8 @@ def similar_classes(docs: DataFrame, threshold: float = 0.5, n: int = 3, id_col:
 def components(pairs: DataFrame, a: str = "doc_id_a", b: str = "doc_id_b") -> DataFrame:
     """(node, root): connected components of the pairs, by alternating large-star and small-star steps.
 
-    `root` is the smallest id of the component; each node that has a pair occurs once. Every step
+    `root` is the smallest id of the component; each node that has a pair occurs once. Pairs with a null
+    end or two equal ones count for nothing, repeated ones once; no pairs give an empty result. Every step
     is two aggregates and joins on edges, written to the shared checkpoint folder; the number of
     steps is logarithmic in the longest path.
     """
