@@ -3,35 +3,21 @@
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tomeforge.sources.shared import new_path, shared_folder
+
 #: What a normalised word may hold; the rest of a word is dropped.
 WORD_CHARS = r"\p{L}\p{M}\p{N}"
 
 
-def shared_folder(spark: SparkSession) -> None:
-    """Leave the cluster's checkpoint folder alone; where none is named, set one for local runs and refuse others."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        import tempfile
-
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="tomeforge-checkpoint-")
-    context.setCheckpointDir(named)
-
-
 def cut(frame: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and go on from there."""
     shared_folder(frame.sparkSession)
@@ -40,9 +26,7 @@ def cut(frame: DataFrame) -> DataFrame:
 
 def written(frame: DataFrame) -> DataFrame:
     """The rows as Parquet in a new folder of the shared checkpoint folder, read again."""
-    shared_folder(frame.sparkSession)
-    path = f"{frame.sparkSession.sparkContext.getCheckpointDir()}/written-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    frame.write.parquet(path := new_path(frame.sparkSession, "written"))
     return frame.sparkSession.read.parquet(path)
 
 
