@@ -1,8 +1,10 @@
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.data import corpus, frame, with_extra, words
@@ -124,6 +126,50 @@ def test_one_id_with_several_texts(spark):
     assert [r["doc_id"] for r in N.drop_near_copies(docs).collect()] == [1, 1]
 
 
+def test_pairs_of_a_large_class_are_passed_on_in_batches():
+    n = 2500
+    rng = np.random.default_rng(6)
+    doc = rng.permutation(n)
+    column = {"gram": np.full(n, 7), "df": np.full(n, n), "doc": doc, "size": rng.integers(50, 60, n), "place": np.zeros(n, np.int64)}
+    column |= {e: np.full(n, -1) for e in N._EARLIER}
+    table = pa.table({**column, "classes": pa.array([np.full(N.CLASSES, 7, "<u4").tobytes()] * n, pa.binary())})
+    tracemalloc.start()
+    pairs = sizes = 0
+    for batch in N._candidates(0.5)(iter(table.to_batches())):
+        pairs += int((batch.column("a").to_numpy() * n + batch.column("b").to_numpy()).sum())
+        sizes = max(sizes, batch.num_rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    a, b = np.triu_indices(n, 1)
+    assert pairs == int((a * n + b).sum()) and sizes <= 700_000 and peak < 120 << 20
+
+
+@pytest.mark.parametrize("each", [5, 60])
+def test_large_classes_are_verified_in_cells(spark, monkeypatch, each):
+    rng = random.Random(13)
+    rows = corpus(20)
+    for group in range(3):
+        base = words(rng, 50).split()
+        for k in range(40):
+            own = list(base)
+            for _ in range(rng.randrange(0, 7)):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(9)}"
+            rows.append((1000 * (group + 1) + k, " ".join(own), "en", "s", 0))
+    docs = frame(spark, rows).repartition(3)
+    held = []
+    verify = N._verify
+    monkeypatch.setattr(N, "CELL_PAIRS", each)
+    monkeypatch.setattr(N, "_verify", lambda *given: held.append(given) or verify(*given))
+    assert sorted(map(tuple, N.similar_classes(docs).collect())) == sorted(classes(rows))
+    assert pairs_of(N.similar_pairs(docs)) == brute(rows, 0.5)
+    assert held == [(0.5, True), (0.5, False)]
+
+
+def test_roots():
+    i, j = np.array([5, 4, 9, 7, 2]), np.array([4, 3, 8, 9, 6])
+    assert N._roots(10, i, j).tolist() == [0, 1, 2, 3, 3, 3, 2, 7, 7, 7]
+
+
 def test_components(spark):
     rng = random.Random(9)
     pairs = [(i, i + 1) for i in range(60)] + [tuple(rng.sample(range(100, 160), 2)) for _ in range(35)] + [(500, 400), (500, 400), (7, 7)]

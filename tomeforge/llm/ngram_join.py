@@ -15,7 +15,10 @@ The method is an exact prefix-filtering set-similarity join:
    suffix filter that bounds the overlap by the smaller count in each of eight hash classes. A pair
    is passed over where both bring along an earlier n-gram in common, as it meets there already.
 4. Pairs are made distinct, keeping the first n-gram they met at. Sets are sent to that n-gram,
-   once for all their pairs there, and each pair is verified there once, by full overlap.
+   once for all their pairs there, and each pair is verified there once, by full overlap. An
+   n-gram with very many pairs is cut into cells, so no task holds all pairs of a large class, and
+   where only classes are asked for a cell tells each set's number of links and the smallest set
+   that they connect it with instead of its pairs.
 
 Packed rows hold plain little-endian arrays; every partition is sized from the bytes of text.
 """
@@ -38,6 +41,8 @@ CLASSES = 8
 BUCKET_BYTES = 6 << 20
 #: Preceding n-grams of its document that a probing one brings along.
 WITNESSES = 2
+#: Pairs that are verified together.
+CELL_PAIRS = 200_000
 #: Stands for the frequency of common n-grams: behind all others in the order.
 LAST = 1 << 40
 
@@ -331,8 +336,12 @@ def _merge_probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 _PAIR = "a long, b long, df long, gram long"
 
 
-def _candidates(threshold: float, most: int = 400_000):
-    """Pairs that meet in one bucket of probing n-grams and pass the filters, with the first n-gram they meet at."""
+def _candidates(threshold: float, most: int = 200_000):
+    """Pairs that meet in one bucket of probing n-grams and pass the filters, with the first n-gram they meet at.
+
+    They are passed on in batches of about `most`, however many there are, so memory follows the
+    bucket's n-grams. A pair is told once a batch; further ones are taken out where pairs are made distinct.
+    """
 
     def first_met(parts: list[np.ndarray]) -> np.ndarray:
         rows = np.concatenate(parts)
@@ -340,7 +349,32 @@ def _candidates(threshold: float, most: int = 400_000):
         rows = rows[order]
         return rows[np.concatenate([[True], (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])])] if len(rows) else rows
 
-    def run(table: pa.Table) -> pa.Table:
+    def batch(rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, c].copy()) for c in range(4)], names=["a", "b", "df", "gram"])
+
+    def places(many: np.ndarray, first: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs of rows with the same n-gram whose sizes may fit, some `most` at a time; the first has the smaller set."""
+        for length in np.unique(many[many > 1]):
+            lists = first[many == length]
+            if length <= 512:
+                up = np.triu_indices(length, 1)
+                step = max(1, most // len(up[0]))
+                for s in range(0, len(lists), step):
+                    base = lists[s : s + step, None]
+                    yield (base + up[0]).ravel(), (base + up[1]).ravel()
+            else:
+                for start in lists:
+                    # sizes ascend: partners of i end where sizes pass size[i] / t
+                    sizes = size[start : start + length]
+                    ends = np.searchsorted(sizes, sizes / threshold + 1e-9, side="right")
+                    before = np.append(0, np.cumsum(ends - np.arange(length) - 1))
+                    for low in range(0, int(before[-1]), most):
+                        pair = np.arange(low, min(low + most, int(before[-1])))
+                        i = np.searchsorted(before, pair, side="right") - 1
+                        yield start + i, start + i + 1 + pair - before[i]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
         gram, df, doc, size, place = (table.column(c).to_numpy() for c in ("gram", "df", "doc", "size", "place"))
         classes = np.frombuffer(b"".join(table.column("classes").to_pylist()), "<u4").reshape(-1, CLASSES).astype(np.int64)
         earlier = [table.column(e).to_numpy() for e in _EARLIER]
@@ -349,11 +383,7 @@ def _candidates(threshold: float, most: int = 400_000):
         gram, df, doc, size, place, classes = gram[order], df[order], doc[order], size[order], place[order], classes[order]
         first, many = _runs(gram)
         parts: list[np.ndarray] = []
-        held, full = 0, 2 * most
-
-        def meet(i: np.ndarray, j: np.ndarray) -> None:
-            """i has the smaller set of each pair."""
-            nonlocal parts, held, full
+        for i, j in places(many, first, size):
             keep = (size[i] >= threshold * size[j] - 1e-9) & (doc[i] != doc[j])
             i, j = i[keep], j[keep]
             met = np.zeros(len(i), bool)
@@ -371,35 +401,12 @@ def _candidates(threshold: float, most: int = 400_000):
             i, j = i[bound >= need], j[bound >= need]
             if len(i):
                 parts.append(np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j]), df[i], gram[i]], axis=1))
-                held += len(i)
-                if held > full:
+                if sum(map(len, parts)) > 2 * most:
                     parts = [first_met(parts)]
-                    held = len(parts[0])
-                    full = 2 * max(most, held)
-
-        for length in np.unique(many[many > 1]):
-            lists = first[many == length]
-            if length <= 1024:
-                up = np.triu_indices(length, 1)
-                step = max(1, most // len(up[0]))
-                for s in range(0, len(lists), step):
-                    base = lists[s : s + step, None]
-                    meet((base + up[0]).ravel(), (base + up[1]).ravel())
-            else:
-                for start in lists:
-                    # sizes ascend: partners of i end where sizes pass size[i] / t
-                    sizes = size[start : start + length]
-                    ends = np.searchsorted(sizes, sizes / threshold + 1e-9, side="right")
-                    span = ends - np.arange(length) - 1
-                    lo = 0
-                    while lo < length:
-                        hi = max(lo + 1, int(np.searchsorted(np.cumsum(span[lo:]), most)) + lo)
-                        i = np.repeat(np.arange(lo, hi), span[lo:hi])
-                        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(span[lo:hi]) - span[lo:hi], span[lo:hi])
-                        meet(start + i, start + j)
-                        lo = hi
-        rows = first_met(parts) if parts else np.zeros((0, 4), np.int64)
-        return pa.Table.from_arrays([pa.array(rows[:, c].copy()) for c in range(4)], names=["a", "b", "df", "gram"])
+                    if len(parts[0]) > most:
+                        yield batch(parts.pop())
+        if parts:
+            yield batch(first_met(parts))
 
     return run
 
@@ -413,54 +420,81 @@ def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, block: int =
         return out
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     names, column = np.unique(np.concatenate(sets), return_inverse=True)
+    begin = np.searchsorted(owner, np.arange(0, len(sets) + 2 * block, block))
     cell = (i // block) * (len(sets) // block + 1) + j // block
     order = np.argsort(cell, kind="stable")
-    for at, many in zip(*_runs(cell[order])):
-        k = order[at : at + many]
+    for first, many in zip(*_runs(cell[order])):
+        k = order[first : first + many]
         bi, bj = int(i[k[0]] // block), int(j[k[0]] // block)
         total = np.zeros((block, block), np.float32)
         for low in range(0, len(names), 8192):
             tall = []
             for b in (bi, bj):
-                here = (owner // block == b) & (column >= low) & (column < low + 8192)
+                own, at = owner[begin[b] : begin[b + 1]], column[begin[b] : begin[b + 1]]
+                here = (at >= low) & (at < low + 8192)
                 m = np.zeros((block, min(8192, len(names) - low)), np.float32)
-                m[owner[here] - b * block, column[here] - low] = 1
+                m[own[here] - b * block, at[here] - low] = 1
                 tall.append(m)
             total += tall[0] @ tall[1].T
         out[k] = total[i[k] - bi * block, j[k] - bj * block].astype(np.int64)
     return out
 
 
-def _verify(threshold: float):
+def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n numbers the smallest one that the pairs connect it with."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[i], root[j])
+        now = root.copy()
+        for end in (i, j):
+            np.minimum.at(now, end, low)
+            np.minimum.at(now, root[end], low)
+        now = now[now]
+        if (now == root).all():
+            return root
+        root = now
+
+
+_VERIFIED = "a long, b long, jaccard double"
+_COUNTED = "doc long, root long, links long"
+
+
+def _verify(threshold: float, counted: bool):
+    """The similar ones of the pairs of one bucket. `counted`: not one by one, but each set's number of them, and the smallest set that they connect it with."""
+
     def run(pairs: pa.Table, docs: pa.Table) -> pa.Table:
-        gram, a, b = (pairs.column(c).to_numpy() for c in ("gram", "a", "b"))
+        cell, a, b = (pairs.column(c).to_numpy() for c in ("cell", "a", "b"))
         at = docs.column("at").to_numpy()
         doc, size = docs.column("doc").to_numpy(), docs.column("size").to_numpy()
         raw = docs.column("grams").to_pylist()
         order = np.lexsort((doc, at))
         at, doc, size = at[order], doc[order], size[order]
-        by = np.argsort(gram, kind="stable")
-        gram, a, b = gram[by], a[by], b[by]
-        keep_a, keep_b, keep_j = [], [], []
+        by = np.argsort(cell, kind="stable")
+        cell, a, b = cell[by], a[by], b[by]
+        out: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64 if counted else np.float64))]
         first, many = _runs(at)
         start = dict(zip(at[first].tolist(), zip(first.tolist(), many.tolist())))
-        for s, m in zip(*_runs(gram)):
-            f, k = start[int(gram[s])]
+        for s, m in zip(*_runs(cell)):
+            f, k = start[int(cell[s])]
             here = doc[f : f + k]
             sets = [np.sort(_unplanes(raw[order[x]])) for x in range(f, f + k)]
             i, j = np.searchsorted(here, a[s : s + m]), np.searchsorted(here, b[s : s + m])
             common = overlaps(sets, i, j)
             jaccard = common / (size[f + i] + size[f + j] - common)
             good = jaccard >= threshold - 1e-12
-            keep_a.append(here[i][good]), keep_b.append(here[j][good]), keep_j.append(jaccard[good])
-        join = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0, t))
-        return pa.Table.from_arrays([join(keep_a, np.int64), join(keep_b, np.int64), join(keep_j, np.float64)], names=["a", "b", "jaccard"])
+            if counted:
+                links = np.bincount(np.concatenate([i[good], j[good]]), minlength=k)
+                some = np.flatnonzero(links)
+                out.append((here[some], here[_roots(k, i[good], j[good])[some]], links[some]))
+            else:
+                out.append((here[i][good], here[j][good], jaccard[good]))
+        return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["doc", "root", "links"] if counted else ["a", "b", "jaccard"])
 
     return run
 
 
-def _similar_sets(docs: DataFrame, threshold: float, n: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(id, doc) of every document with words, `doc` being its set's signature, (a, b, jaccard) of similar sets, and the other ids."""
+def _similar_sets(docs: DataFrame, threshold: float, n: int, id_col: str, text_col: str, counted: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, doc) of every document with words, `doc` being its set's signature, what `_verify` tells of similar sets, and the other ids."""
     if not 0 < threshold <= 1 or n < 1:
         raise ValueError("threshold must be in (0, 1] and n at least 1")
     if dict(docs.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint"):
@@ -469,8 +503,8 @@ def _similar_sets(docs: DataFrame, threshold: float, n: int, id_col: str, text_c
     buckets = buckets_for(text_bytes(source, "text"), BUCKET_BYTES)
     common = docs.sparkSession.sparkContext.broadcast(_common_slots(source, n))  # 4 MB whatever the corpus holds
     packed = source.mapInArrow(_scan(n, buckets, common), _PACKED)
-    counted = packed.groupBy("bucket").applyInArrow(_frequencies(buckets), _PACKED)
-    found = cut(counted.groupBy("bucket").applyInArrow(_sets(threshold), _SETS))
+    frequent = packed.groupBy("bucket").applyInArrow(_frequencies(buckets), _PACKED)
+    found = cut(frequent.groupBy("bucket").applyInArrow(_sets(threshold), _SETS))
     sets = found.where("kind = 1").select("doc", "size", "probes", "ranks", "grams", "classes")
     probes = sets.mapInArrow(_merge_probes, _PROBES)
     met = (
@@ -482,14 +516,25 @@ def _similar_sets(docs: DataFrame, threshold: float, n: int, id_col: str, text_c
         .select("a", "b", F.col("met.gram").alias("gram"))
     )
     met = cut(met)
-    wanted = met.select(F.col("gram").alias("at"), F.explode(F.array("a", "b")).alias("doc")).distinct()
+    # N-grams with very many pairs are cut into cells by both ends. One row for each CELL_PAIRS pairs at most is broadcast.
+    counts = met.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    every, most = (x or 0 for x in counts.agg(F.sum("n"), F.max("n")).first())
+    large = counts.where(F.col("n") > CELL_PAIRS).select("gram", F.ceil(F.sqrt(F.col("n") / CELL_PAIRS)).alias("parts"))
+    part = lambda c: F.pmod(F.xxhash64(c), "parts")
+    if most > CELL_PAIRS:
+        cell = F.when(F.col("parts").isNull(), F.col("gram")).otherwise(F.xxhash64("gram", part("a"), part("b")))
+        met = met.join(F.broadcast(large), "gram", "left").withColumn("cell", cell)
+    else:
+        met = met.withColumnRenamed("gram", "cell")
+    met = met.select("a", "b", "cell")
+    wanted = met.select(F.col("cell").alias("at"), F.explode(F.array("a", "b")).alias("doc")).distinct()
     sent = wanted.join(sets.select("doc", "size", "grams"), "doc")
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(2 * buckets))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(max(2 * buckets, -(-every // CELL_PAIRS))))
     verified = (
-        met.withColumn("bucket", place("gram"))
+        met.withColumn("bucket", place("cell"))
         .groupBy("bucket")
         .cogroup(sent.withColumn("bucket", place("at")).groupBy("bucket"))
-        .applyInArrow(_verify(threshold), "a long, b long, jaccard double")
+        .applyInArrow(_verify(threshold, counted), _COUNTED if counted else _VERIFIED)
     )
     return found.where("kind = 0").select("id", "doc"), verified, found.where("kind = 2").select("id").distinct()
 
@@ -509,7 +554,7 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, id_col: s
     * Ids must be integers (else ``ValueError``). N-grams are 48-bit hashes and signatures 64-bit: in
       a corpus of 10^10 distinct documents a handful are expected to share a signature by chance.
     """
-    members, links, _ = _similar_sets(docs, threshold, n, id_col, text_col)
+    members, links, _ = _similar_sets(docs, threshold, n, id_col, text_col, counted=False)
     first = members.groupBy("doc").agg(F.min("id").alias("first"))
     copies = members.join(first, "doc").where("id <> first").select(F.col("first").alias("x"), F.col("id").alias("y"), F.lit(1.0).alias("jaccard"))
     named = links.join(first.select(F.col("doc").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("doc").alias("b"), F.col("first").alias("y")), "b")
@@ -528,13 +573,13 @@ def similar_classes(docs: DataFrame, threshold: float = 0.5, n: int = 3, id_col:
     * Rows with a null id have no row. Rows that repeat an id have one for each distinct set.
     * An empty table gives an empty result; ids must be integers. Ties need no rule: all links count.
     """
-    members, links, wordless = _similar_sets(docs, threshold, n, id_col, text_col)
-    links = cut(links.select("a", "b"))
-    ends = links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("n_links"))
+    members, links, wordless = _similar_sets(docs, threshold, n, id_col, text_col, counted=True)
+    links = cut(links)
+    ends = links.groupBy("doc").agg(F.sum("links").alias("n_links"))
     sets = (
         members.groupBy("doc").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("many"))
         .join(ends, "doc", "left")
-        .join(components(links, "a", "b").withColumnRenamed("node", "doc"), "doc", "left")
+        .join(components(links, "doc", "root").withColumnRenamed("node", "doc"), "doc", "left")
     )
     sets = sets.select("doc", "first", "many", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "doc").alias("root"))
     sets = cut(sets)
