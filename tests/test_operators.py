@@ -195,6 +195,18 @@ def test_linking_against_all_pairs(spark):
     assert {(r["text_id"], r["pos"], r["surface"]): (r["entity"], r["score"]) for r in got.collect()} == linked_by_hand(texts, rows)
 
 
+def test_pairs_of_titles_do_not_meet_all_documents(spark):
+    names = [f"T{i}" for i in range(12)]
+    index = spark.createDataFrame([(i, names) for i in range(300)] + [(None, names[:2]), (300, []), (300, names[:1])], "id bigint, outlinks array<string>")
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
+    found = linking.relatedness(index, pairs)
+    far = lambda da, db: max(0.0, 1 - (math.log(max(da, db)) - math.log(300)) / (math.log(303) - math.log(min(da, db))))
+    degree = lambda t: 300 + (t in names[:2]) + (t == names[0])
+    got = {(r["a"], r["b"]): r["relatedness"] for r in found.collect()}
+    assert len(got) == 144 and got["T0", "T1"] == pytest.approx(far(302, 301)) and got["T3", "T4"] == pytest.approx(far(degree("T3"), degree("T4")))
+    assert "array_distinct" not in found._jdf.queryExecution().optimizedPlan().toString()  # counted before it is joined with pairs
+
+
 def test_stream_counts_add_up(spark, tmp_path, flat):
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
     frame = spark.createDataFrame(ROWS, PAGE)

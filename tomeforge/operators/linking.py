@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tomeforge.functions import words
 from tomeforge.operators.counts import commonness
 from tomeforge.operators.search import phrases_df, postings
+from tomeforge.sources.shared import kept
 
 
 def longest_form(counts: DataFrame) -> int:
@@ -43,17 +44,23 @@ def link_probability(counts: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def relatedness(index: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, relatedness) for pairs of titles: Milne-Witten over the documents that link to both, between 0 and 1."""
-    links = postings(index)
-    degree = links.groupBy("title").agg(F.count(F.lit(1)).alias("d"))
-    total = index.agg(F.count(F.lit(1)).alias("_all"))
+    """(a, b, relatedness) for pairs of titles: Milne-Witten over the documents that link to both, between 0 and 1.
+
+    A document counts once for each pair of the wanted titles that it links to, and counts are added up
+    before they are shuffled: a pair never meets all documents of its titles. The counts are kept in the shared folder.
+    """
     wanted = pairs.select("a", "b").distinct()
-    left = links.select(F.col("title").alias("a"), "id")
-    right = links.select(F.col("title").alias("b"), "id")
-    both = wanted.join(left, "a").join(right, ["b", "id"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("_both"))
+    titles = wanted.select(F.explode(F.array("a", "b")).alias("title")).distinct()
+    held = postings(index).join(titles, "title", "left_semi").groupBy("id").agg(F.collect_set("title").alias("_t"))
+    met = held.select("id", "_t", F.explode("_t").alias("x")).select("id", "x", F.explode("_t").alias("y")).where("x = y or x < y and id is not null")
+    met = kept(met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")))
+    degree = met.where("x = y").select("x", F.col("n").alias("d"))
+    total = index.agg(F.count(F.lit(1)).alias("_all"))
     sized = (
-        both.join(degree.select(F.col("title").alias("a"), F.col("d").alias("_da")), "a")
-        .join(degree.select(F.col("title").alias("b"), F.col("d").alias("_db")), "b")
+        wanted.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")})
+        .join(met.withColumnRenamed("n", "_both"), ["x", "y"])
+        .join(degree.select(F.col("x").alias("a"), F.col("d").alias("_da")), "a")
+        .join(degree.select(F.col("x").alias("b"), F.col("d").alias("_db")), "b")
         .crossJoin(F.broadcast(total))  # one row
     )
     far = (F.log(F.greatest("_da", "_db")) - F.log("_both")) / (F.log("_all") - F.log(F.least("_da", "_db")))
@@ -68,16 +75,19 @@ def link(texts: DataFrame, counts: DataFrame, index: DataFrame, least_probabilit
     times commonness. The score is the mean of link probability and the votes' mean (to 9 decimals); a
     text's only mention has votes of 0. What a surface form thinks of an entity doesn't depend on the
     text, so it is worked out once for all texts in which the two meet, and votes are added up by
-    text and entity instead of by pairs of mentions.
+    text and entity instead of by pairs of mentions. Only forms that the texts mention are weighed; mentions,
+    their senses and votes, which follow the texts, are kept in the shared folder.
     """
-    likely = link_probability(counts, index).where(F.col("link_probability") >= least_probability)
-    senses = commonness(counts).where(F.col("commonness") >= least_commonness).select("surface", "entity", F.replace("entity", F.lit(" "), F.lit("_")).alias("a"), "commonness")
-    found = mentions(texts, counts, most_words).join(likely, "surface").join(senses, "surface")
+    named = kept(mentions(texts, counts, most_words))
+    own = kept(counts.join(named.select("surface").distinct(), "surface", "left_semi"))
+    likely = link_probability(own, index).where(F.col("link_probability") >= least_probability)
+    senses = commonness(own).where(F.col("commonness") >= least_commonness).select("surface", "entity", F.replace("entity", F.lit(" "), F.lit("_")).alias("a"), "commonness")
+    found = kept(named.join(likely, "surface").join(senses, "surface"))
     forms = found.select("text_id", "pos", "surface").distinct().groupBy("text_id", "surface").agg(F.count(F.lit(1)).alias("_k"))
     size = forms.groupBy("text_id").agg(F.sum("_k").alias("_m"))
     met = found.select("text_id", "a").distinct().join(forms, "text_id")
     thought = met.select("a", "surface").distinct().join(senses.select("surface", F.col("a").alias("b"), F.col("commonness").alias("_c")), "surface")
-    votes = thought.join(relatedness(index, thought.select("a", "b")), ["a", "b"]).groupBy("a", "surface").agg(F.avg(F.col("relatedness") * F.col("_c")).alias("_v"))
+    votes = kept(thought.join(relatedness(index, thought.select("a", "b")), ["a", "b"]).groupBy("a", "surface").agg(F.avg(F.col("relatedness") * F.col("_c")).alias("_v")))
     total = met.join(votes, ["a", "surface"]).groupBy("text_id", "a").agg(F.sum(F.col("_k") * F.col("_v")).alias("_s"))
     scored = found.join(total, ["text_id", "a"]).join(votes, ["a", "surface"]).join(size, "text_id")
     mean = F.when(F.col("_m") > 1, F.round((F.col("_s") - F.col("_v")) / (F.col("_m") - 1), 9)).otherwise(0.0)
