@@ -124,6 +124,30 @@ def test_written_dumps_are_read_again(spark, tmp_path):
     assert sorted(map(tuple, found.collect()), key=lambda r: r[0]) == wanted
 
 
+def test_a_dump_is_written_and_read_by_many_tasks(spark, tmp_path):
+    from tomeforge.operators import sinks
+
+    ids = [*range(1000, 1430), None, None, *[1100] * 30]  # some parts end within a stream
+    rows = [(i, f"T {n}", False, None, f"text {n}\n") for n, i in enumerate(ids)]
+    pages = spark.createDataFrame(rows, "page_id bigint, title string, is_redirect boolean, redirect_to string, text string").repartition(5)
+    path = str(tmp_path / "many.bz2")
+    lines = multistream.write_streams(sinks.dump_xml(pages), path, size=20, part_pages=33)
+    index = indices.parse_index_lines(lines).cache()
+    sizes = [r["n"] for r in index.groupBy("offset").count().withColumnRenamed("count", "n").orderBy("offset").collect()]
+    assert sizes == [20] * 23 + [2] and [p.name for p in tmp_path.iterdir()] == ["many.bz2"]
+    order = [r["page_id"] for r in index.select("offset", "page_id").orderBy("offset").collect()]
+    blocks = [sorted((x or 0) for x in order[k : k + 20]) for k in range(0, len(order), 20)]
+    assert sum(blocks, []) == sorted(x or 0 for x in ids)
+    read = multistream.read_pages_at(path, index)
+    assert sorted(r["title"] for r in read.collect()) == sorted(r[1] for r in rows) and read.rdd.getNumPartitions() > 1
+    assert sorted((r["offset"], r["title"]) for r in read.collect()) == sorted((r["offset"], r["title"]) for r in index.collect())
+    import bz2
+
+    assert bz2.decompress(open(path, "rb").read()).decode().count("<page>") == len(rows)
+    none = multistream.write_streams(sinks.dump_xml(pages.where("false")), str(tmp_path / "none.bz2"))
+    assert none.count() == 0 and (tmp_path / "none.bz2").stat().st_size == 0
+
+
 def test_the_shared_folder_is_the_cluster_s(spark):
     from types import SimpleNamespace
 

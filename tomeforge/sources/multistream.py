@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import bz2
 import os
+import shutil
 import sys
 import uuid
 import xml.etree.ElementTree as ET
@@ -18,9 +19,13 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tomeforge.sources.shared import kept
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _CHUNK = 1 << 18
+#: Streams that a task opens, at about.
+TASK_STREAMS = 16
 
 
 def _open(path: str):
@@ -32,24 +37,37 @@ def _open(path: str):
     return open(path, "rb")
 
 
-def _write(path: str, parts: Iterator[bytes]) -> Iterator[int]:
-    """Write the parts to one file, which has its name when it is whole; gives each part's length once it is written."""
-    begun = f"{path}.{uuid.uuid4().hex}"
-    if "://" in path:
-        from pyarrow import fs
+def _place(path: str) -> tuple:
+    """(filesystem, path in it) of a path with a scheme."""
+    from pyarrow import fs
 
-        system, inner = fs.FileSystem.from_uri(path)
-        begun = f"{inner}.{uuid.uuid4().hex}"
+    return fs.FileSystem.from_uri(path)
+
+
+def _create(path: str):
+    if "://" in path:
+        system, inner = _place(path)
         system.create_dir(inner.rpartition("/")[0], recursive=True)
-        out, move = system.open_output_stream(begun), lambda: system.move(begun, inner)
+        return system.open_output_stream(inner)
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    return open(path, "wb")
+
+
+def _copy(source: str, out) -> None:
+    with _open(source) as raw:
+        while chunk := raw.read(_CHUNK):
+            out.write(chunk)
+
+
+def _finish(begun: str, path: str, parts: str) -> None:
+    """Give the whole file its name and remove its parts."""
+    if "://" in path:
+        system, inner = _place(path)
+        system.move(_place(begun)[1], inner)
+        system.delete_dir(_place(parts)[1])
     else:
-        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-        out, move = open(begun, "wb"), lambda: os.replace(begun, path)
-    with out:
-        for part in parts:
-            out.write(part)
-            yield len(part)
-    move()
+        os.replace(begun, path)
+        shutil.rmtree(parts)
 
 
 def read_stream(path: str, offset: int) -> bytes:
@@ -105,7 +123,9 @@ def pages_in(fragment: bytes, compat_ids: bool = False) -> Iterator[tuple]:
 
 def _spread(offsets: DataFrame) -> DataFrame:
     """Distinct offsets in runs that follow the file, so that a task reads forward."""
-    return offsets.select(F.col("offset").cast("bigint").alias("offset")).where("offset is not null").distinct().repartitionByRange("offset").sortWithinPartitions("offset")
+    wanted = offsets.select(F.col("offset").cast("bigint").alias("offset")).where("offset is not null").distinct()
+    # offsets are small and their streams aren't: left to itself, Spark would put them all into one task
+    return wanted.repartitionByRange(max(1, -(-wanted.count() // TASK_STREAMS)), "offset").sortWithinPartitions("offset")
 
 
 def read_pages_at(path: str, offsets: DataFrame, compat_ids: bool = False) -> DataFrame:
@@ -158,31 +178,146 @@ def lines_of(streams: DataFrame) -> DataFrame:
     return whole.select("offset", F.posexplode(F.split("content", "\r?\n")).alias("line_no", "line"))
 
 
-def write_streams(pages: DataFrame, path: str, size: int = 100) -> DataFrame:
-    """Write one multistream dump of `size` pages a stream, by page id; its index lines (value) come back.
+_WRITTEN = "stream long, file string, at long, length long, lines array<string>, rank long, value string"
 
-    `pages` has `page_id`, `title` and, as from :func:`tomeforge.operators.sinks.dump_xml`, `value`. A
-    dump is one file, so one task writes it, a stream at a time, and moves it into place when it is whole.
-    """
+
+def _compressed(values: list[str]) -> bytes:
+    return bz2.compress("\n".join([*values, ""]).encode())
+
+
+def _streams_of(folder: str, size: int, base: dict[int, int], total: int):
+    """Whole streams of a part go to a file, and a row tells of each; pages of a stream that other parts share are handed on."""
 
     def run(batches):
         import pyarrow as pa
 
-        lines: list[list[str]] = []
+        schema = pa.schema([("stream", pa.int64()), ("file", pa.string()), ("at", pa.int64()), ("length", pa.int64()), ("lines", pa.list_(pa.string())), ("rank", pa.int64()), ("value", pa.string())])
+        held, out, part, rank, name, at = [], None, None, 0, None, 0
+
+        def told():
+            """Rows of the pages held, which end a stream or a part."""
+            nonlocal at, out, name
+            first = rank - len(held)
+            stream = first // size
+            if first % size == 0 and (len(held) == size or rank == total):
+                if out is None:  # a task that is run again writes another file
+                    name, at = f"{folder}/{uuid.uuid4().hex}", 0
+                    out = _create(name)
+                data = _compressed([v for _, v in held])
+                out.write(data)
+                rows = [{"stream": stream, "file": name, "at": at, "length": len(data), "lines": [line for line, _ in held]}]
+                at += len(data)
+            else:
+                rows = [{"stream": stream, "lines": [line], "rank": first + i, "value": v} for i, (line, v) in enumerate(held)]
+            held.clear()
+            return pa.RecordBatch.from_pylist(rows, schema)
+
+        def close():
+            nonlocal out
+            if out is not None:
+                out.close()
+                out = None
 
-        def packed() -> Iterator[bytes]:
-            for batch in batches:
-                for low in range(0, batch.num_rows, size):
-                    part = batch.slice(low, size)
-                    lines.append([f"{i}:{t or ''}" for i, t in zip(part.column("page_id").to_pylist(), part.column("title").to_pylist())])
-                    yield bz2.compress("\n".join([*part.column("value").to_pylist(), ""]).encode())
+        for batch in batches:
+            for own, i, title, value in zip(*(batch.column(c).to_pylist() for c in ("part", "page_id", "title", "value"))):
+                if own != part:
+                    if held:
+                        yield told()
+                    close()
+                    part, rank = own, base[own]
+                held.append((f"{i}:{title or ''}", value))
+                rank += 1
+                if rank % size == 0:
+                    yield told()
+        if held:
+            yield told()
+        close()
+
+    return run
+
+
+def _shared_stream(folder: str):
+    """One stream whose pages came from several parts, to a file of its own."""
+
+    def run(pages):
+        import pyarrow as pa
+
+        rows = pages.sort_by("rank")
+        data, name = _compressed(rows.column("value").to_pylist()), f"{folder}/{uuid.uuid4().hex}"
+        with _create(name) as out:
+            out.write(data)
+        lines = [line for own in rows.column("lines").to_pylist() for line in own]
+        return pa.table({"stream": rows.column("stream").slice(0, 1), "file": [name], "at": [0], "length": [len(data)], "lines": pa.array([lines], pa.list_(pa.string()))})
+
+    return run
 
-        offset = 0
-        for length in _write(path, packed()):
-            yield pa.RecordBatch.from_arrays([pa.array([f"{offset}:{x}" for x in lines.pop()], pa.string())], names=["value"])
-            offset += length
 
-    return pages.select("page_id", "title", "value").orderBy("page_id").coalesce(1).mapInArrow(run, "value string")
+def write_streams(pages: DataFrame, path: str, size: int = 100, part_pages: int = 10_000) -> DataFrame:
+    """Write one multistream dump of `size` pages a stream, by page id; its index lines (value) come back.
+
+    `pages` has `page_id`, `title` and, as from :func:`tomeforge.operators.sinks.dump_xml`, `value`. Tasks
+    compress about `part_pages` pages each into files beside the dump; streams that lie across
+    parts are put together by themselves. Then all files are copied to their places in the one dump at once,
+    and it gets its name when it is whole. Where a path has a scheme, files can't be written in the middle, and
+    one task copies the compressed files one after the other. The driver gets a few numbers of each part.
+    """
+    spark = pages.sparkSession
+    rows = pages.select("page_id", "title", "value")
+    total = rows.count()
+    wanted = max(1, -(-total // part_pages))
+    shares = [k / wanted for k in range(1, wanted)]
+    found = rows.agg(F.percentile_approx(F.col("page_id").cast("bigint"), shares, 20 * wanted)).first()[0] if shares else None
+    cuts = sorted(set(found or []))
+
+    @F.arrow_udf("int")
+    def part_of(ids):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        own = np.searchsorted(np.array(cuts, np.int64), pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), side="right")
+        return pa.array(np.where(pc.is_null(ids).to_numpy(zero_copy_only=False), 0, own), pa.int32())  # nulls go first
+
+    dealt = rows.withColumn("part", part_of(F.col("page_id").cast("bigint")))
+    base, behind = {}, 0
+    for part, n in sorted(map(tuple, rows.select(part_of(F.col("page_id").cast("bigint")).alias("part")).groupBy("part").count().collect())):
+        base[part] = behind
+        behind += n
+    begun = f"{path}.{uuid.uuid4().hex}"
+    folder = f"{begun}.parts"
+    by_part = dealt.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", "page_id")
+    first = kept(by_part.mapInArrow(_streams_of(folder, size, base, total), _WRITTEN))
+    shared = kept(first.where("file is null").groupBy("stream").applyInArrow(_shared_stream(folder), "stream long, file string, at long, length long, lines array<string>"))
+    streams = first.where("file is not null").select("stream", "file", "at", "length", "lines").unionByName(shared)
+    places, end = [], 0
+    for file, _, length in streams.groupBy("file").agg(F.min("stream").alias("stream"), F.sum("length").alias("length")).orderBy("stream").collect():
+        places.append((file, end))
+        end += length
+    with _create(f"{folder}/whole"):  # the folder is there even if no page is
+        pass
+    with _create(begun) as out:
+        if "://" not in path:
+            out.truncate(end)
+
+    def copied(batches):
+        import pyarrow as pa
+
+        with _create(begun) if "://" in path else open(begun, "r+b") as out:
+            for batch in batches:
+                for file, place in zip(batch.column("file").to_pylist(), batch.column("base").to_pylist()):
+                    if "://" not in path:
+                        out.seek(place)
+                    _copy(file, out)
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    placed = spark.createDataFrame(places, "file string, base long")
+    if places:
+        spread = placed.coalesce(1).sortWithinPartitions("base") if "://" in path else placed.repartition(len(places))
+        if sum(r[0] for r in spread.mapInArrow(copied, "n long").collect()) != len(places):
+            raise RuntimeError("not all parts of the dump were copied")
+    _finish(begun, path, folder)
+    lines = streams.join(placed, "file").select((F.col("base") + F.col("at")).alias("at"), F.explode("lines").alias("line"))
+    return lines.select(F.concat(F.col("at").cast("string"), F.lit(":"), F.col("line")).alias("value"))
 
 
 def newline_chunks(size: int, target: int, is_newline_at) -> list[tuple[int, int]]:
