@@ -215,3 +215,14 @@ def test_stream_counts_add_up(spark, tmp_path, flat):
         count_stream(page_stream(spark, source), target, str(tmp_path / "log")).awaitTermination()
     got = spark.read.parquet(target).groupBy("surface", "entity").agg(F.sum("n").alias("n"))
     assert as_map(got) == {k: 2 * v for k, v in as_map(flat).items()}
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_links_are_counted_once(spark):
+    pages = spark.createDataFrame(ROWS, PAGE)
+    flat, links_of = counts.anchor_counts_flat(pages), "(?!#)(?![A-Za-z]+:)"
+    assert links_of in plan_of(flat)
+    assert links_of not in plan_of(linking.link_probability(flat, search.build_index(pages)))

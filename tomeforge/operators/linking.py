@@ -36,8 +36,11 @@ def mentions(texts: DataFrame, counts: DataFrame, most_words: int | None = None)
 
 
 def link_probability(counts: DataFrame, index: DataFrame) -> DataFrame:
-    """(surface, link_probability): anchor uses over document frequency, 1 at most; 0 where no document holds the form."""
-    uses = counts.groupBy("surface").agg(F.sum("n").alias("_uses"))
+    """(surface, link_probability): anchor uses over document frequency, 1 at most; 0 where no document holds the form.
+
+    Uses are read several times, so they are kept in the shared folder and counted once.
+    """
+    uses = kept(counts.groupBy("surface").agg(F.sum("n").alias("_uses")))
     df = phrases_df(index, uses.select(F.col("surface").alias("phrase")))
     joined = uses.join(df, F.col("phrase") == F.col("surface"))
     return joined.select("surface", F.when(F.col("n") > 0, F.least(F.lit(1.0), F.col("_uses") / F.col("n"))).otherwise(0.0).alias("link_probability"))
