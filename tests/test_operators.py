@@ -226,3 +226,9 @@ def test_links_are_counted_once(spark):
     flat, links_of = counts.anchor_counts_flat(pages), "(?!#)(?![A-Za-z]+:)"
     assert links_of in plan_of(flat)
     assert links_of not in plan_of(linking.link_probability(flat, search.build_index(pages)))
+
+
+def test_links_are_counted_once_for_mentions(spark):
+    flat = counts.anchor_counts_flat(spark.createDataFrame(ROWS, PAGE))
+    own = lookup.mention_commonness(spark.createDataFrame([("b", "B")], "surface string, entity string"), flat)
+    assert "(?!#)(?![A-Za-z]+:)" not in plan_of(own) and own.count() == 1

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tomeforge.functions import wikitext as W
 from tomeforge.operators.counts import commonness
+from tomeforge.sources.shared import kept
 
 
 def entities_for(counts: DataFrame, surface: str) -> DataFrame:
@@ -67,9 +68,10 @@ def wiki_matches(counts: DataFrame, threshold: float = 0.0) -> DataFrame:
 def mention_commonness(mentions: DataFrame, counts: DataFrame) -> DataFrame:
     """The mentions (surface, entity, ...) with their commonness; 0 for a pair that isn't known.
 
-    Which side is broadcast, if any, is left to Spark, which knows their sizes.
+    Which side is broadcast, if any, is left to Spark, which knows their sizes. Counts are read twice, so
+    they are kept in the shared folder.
     """
-    known = commonness(counts).select("surface", "entity", "commonness")
+    known = commonness(kept(counts)).select("surface", "entity", "commonness")
     return mentions.join(known, ["surface", "entity"], "left").withColumn("commonness", F.coalesce("commonness", F.lit(0.0)))
 
 
