@@ -232,3 +232,14 @@ def test_links_are_counted_once_for_mentions(spark):
     flat = counts.anchor_counts_flat(spark.createDataFrame(ROWS, PAGE))
     own = lookup.mention_commonness(spark.createDataFrame([("b", "B")], "surface string, entity string"), flat)
     assert "(?!#)(?![A-Za-z]+:)" not in plan_of(own) and own.count() == 1
+
+
+def test_few_phrases_need_no_ngrams(spark, monkeypatch):
+    index = spark.createDataFrame([(" the b and the b ",), (" b ",), (None,)], "content string")
+    wanted = spark.createDataFrame([("The b",), ("b",), ("b",), ("he",), ("...",), (None,)], "phrase string")
+    found = search.phrases_df(index, wanted)
+    got = {r["phrase"]: r["n"] for r in found.collect()}
+    assert got == {"The b": 1, "b": 2, "he": 0, "...": 0, None: 0} and "sequence(" not in plan_of(found)
+    monkeypatch.setattr(search, "FEW", 0)
+    many = search.phrases_df(index, wanted)
+    assert {r["phrase"]: r["n"] for r in many.collect()} | {None: 0} == got and "sequence(" in plan_of(many)

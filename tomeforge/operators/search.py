@@ -31,6 +31,8 @@ def phrase_df(index: DataFrame, phrase: str) -> DataFrame:
 
 #: Phrases of up to so many bytes in all are sent to every task; more meet the n-grams in a shuffle.
 BROADCAST_BYTES = 16 << 20
+#: So many phrases are sought in the texts themselves.
+FEW = 16
 
 
 def phrases_df(index: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -38,15 +40,21 @@ def phrases_df(index: DataFrame, phrases: DataFrame) -> DataFrame:
 
     One scan gives the n-grams of all lengths, each once a document. Those that no phrase asks for
     are dropped by a semi-join before anything is counted: a broadcast one where the phrases' size
-    is within `BROADCAST_BYTES`.
+    is within `BROADCAST_BYTES`. Up to `FEW` phrases are sought in the texts, and no n-grams are made.
     """
     wanted = phrases.select("phrase").distinct().withColumn("_p", F.trim(words.phrase_pattern(F.col("phrase"))))
     sizes = wanted.where("_p is not null").groupBy(F.size(F.split("_p", " ")).alias("k")).agg(F.sum(F.octet_length("_p") + 16).alias("b")).collect()
     if not sizes:
         return wanted.select("phrase", F.lit(0).cast("bigint").alias("n"))
+    asked = wanted.where("_p is not null").select("_p").distinct()
+    few = asked.limit(FEW + 1).collect()
+    if len(few) <= FEW:
+        held = [F.count_if(F.contains("content", F.lit(f" {r['_p']} "))).alias(f"n{i}") for i, r in enumerate(few)]
+        found = F.array(*(F.struct(F.lit(r["_p"]).alias("_p"), F.col(f"n{i}").alias("n")) for i, r in enumerate(few)))
+        counted = index.agg(*held).select(F.inline(found))
+        return wanted.join(counted, "_p", "left").select("phrase", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
     content = index.select(F.split(F.trim("content"), " ").alias("_w"))
     grams = F.array_distinct(F.concat(*(words.grams(F.col("_w"), k) for k in sorted(r["k"] for r in sizes))))
-    asked = wanted.where("_p is not null").select("_p").distinct()
     if sum(r["b"] for r in sizes) <= BROADCAST_BYTES:
         asked = F.broadcast(asked)
     counted = content.select(F.explode(grams).alias("_p")).join(asked, "_p", "left_semi").groupBy("_p").agg(F.count(F.lit(1)).alias("n"))
