@@ -76,6 +76,13 @@ def test_anchor_lines(spark):
     assert sorted(tuple(r) for r in tables.parse_anchor_lines(lines).collect()) == [("the tea", "Tea"), ("x", "y")]
 
 
+def test_a_computed_line_is_worked_out_once(spark):
+    whole = spark.createDataFrame([("a", "b"), ("", "c"), ("d", "")], "x string, y string").selectExpr("concat_ws('\t', upper(x), y) as value")
+    found = tables.parse_anchor_lines(whole)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("concat_ws") == 1
+    assert sorted(map(tuple, found.collect())) == [("", "c"), ("A", "b"), ("D", "")]
+
+
 def test_chunks_end_at_newlines():
     raw = b"aaa\nbb\ncccccccc\nd\n" * 3
     at = lambda i: (p if (p := raw.find(b"\n", i)) >= 0 else None)

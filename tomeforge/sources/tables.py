@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 def parse_anchor_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """(surface, entity) from tab-separated anchors: the last two fields; lines of one field have no entity and are left out."""
-    parts = F.split(F.col(column), "\t")
-    return lines.where(F.size(parts) >= 2).select(
-        F.element_at(parts, -2).alias("surface"), F.element_at(parts, -1).alias("entity")
-    )
+    line = F.col(column)
+    fields = F.struct(F.substring_index(F.substring_index(line, "\t", -2), "\t", 1).alias("surface"), F.substring_index(line, "\t", -1).alias("entity"))
+    # exploded instead of filtered: a filter would work out the line a second time where it is computed
+    return lines.select(F.inline(F.when(F.contains(line, F.lit("\t")), F.array(fields))))
 
 
 def read_anchor_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
