@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tomeforge.functions import wikitext
 from tomeforge.operators import counts, linking, links, lookup, search, sinks
 from tomeforge.streaming.counts import count_stream, page_stream
 
@@ -243,3 +244,13 @@ def test_few_phrases_need_no_ngrams(spark, monkeypatch):
     monkeypatch.setattr(search, "FEW", 0)
     many = search.phrases_df(index, wanted)
     assert {r["phrase"]: r["n"] for r in many.collect()} | {None: 0} == got and "sequence(" in plan_of(many)
+
+
+def test_white_space_and_apostrophes(spark):
+    blanks = [chr(c) for c in range(0x3100) if re.fullmatch(r"\s", chr(c)) and not 0x1C <= c <= 0x1F]
+    values = ["", "a", " a\n", "\u200ba", "\u3000a b\u1680\u0085", *(b + "x" + b for b in blanks), "".join(blanks)]
+    frame = spark.createDataFrame([(v,) for v in values], "v string")
+    for row in frame.select("v", wikitext.utrim(F.col("v")).alias("t"), F.regexp_replace("v", r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$", "").alias("w")).collect():
+        assert row["t"] == row["w"] == row["v"].strip("".join(blanks))
+    labels = spark.createDataFrame([("a| ''b'c'' ",), ("a|''",), ("a|",)], "c string").select(wikitext.anchor_surface(F.col("c"))).collect()
+    assert [r[0] for r in labels] == ["b'c", None, None]

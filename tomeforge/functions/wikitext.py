@@ -10,7 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MARKER = "==References=="
-_EDGE = r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$"
+#: All characters with the property White_Space.
+_BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _OPEN_LINK = r"(?s)\[\[(?!#)(?![A-Za-z]+:)(?=(.*?)\]\])"
 _OPEN_ANY = r"(?s)\[\[(?:(?=Category:)(?=(.*?)\]\]))?"
 HIDDEN_TITLES = ("File:", "Template:", "Wikipedia:", "User talk:", "File talk:")
@@ -33,8 +34,8 @@ def starts_with_any(value: Column, prefixes: tuple[str, ...]) -> Column:
 
 
 def utrim(value: Column) -> Column:
-    """Without Unicode white space at either end; Spark's own trim knows the blank alone."""
-    return F.regexp_replace(value, _EDGE, "")
+    """Without Unicode white space at either end; by itself, Spark's trim knows the blank alone."""
+    return F.trim(value, F.lit(_BLANKS))
 
 
 def closed_part(text: Column) -> Column:
@@ -70,7 +71,7 @@ def anchor_page(candidate: Column) -> Column:
 def anchor_surface(candidate: Column) -> Column:
     """Label behind the first pipe, trimmed and without outer apostrophes; null where there is none."""
     pipe = F.instr(candidate, "|")
-    label = F.regexp_replace(utrim(F.substr(candidate, pipe + 1)), "^'+|'+$", "")
+    label = F.trim(utrim(F.substr(candidate, pipe + 1)), F.lit("'"))
     return F.when(pipe > 0, F.nullif(label, F.lit("")))
 
 

@@ -16,8 +16,9 @@ def _count(keys: DataFrame) -> DataFrame:
 
 def _keys(links: DataFrame) -> DataFrame:
     """(surface, entity) of raw links (c)."""
-    page, surface = W.anchor_page(F.col("c")), W.anchor_surface(F.col("c"))
-    return links.select(W.surface_key(page, surface).alias("surface"), W.entity_key(page).alias("entity"))
+    # named first: what is read twice would be worked out twice
+    parsed = links.select(W.anchor_page(F.col("c")).alias("page"), W.anchor_surface(F.col("c")).alias("label"))
+    return parsed.select(W.surface_key(F.col("page"), F.col("label")).alias("surface"), W.entity_key(F.col("page")).alias("entity"))
 
 
 def _raw_links(pages: DataFrame, filter_titles: bool) -> DataFrame:
